@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,14 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/strandline-{sc.applicationId}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage and survives the loss of executors.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -65,5 +67,23 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[2]
+        target = Path(tempfile.mkdtemp(prefix="strandline-ship-")) / "strandline.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for file in (root / "strandline").rglob("*.py"):
+                z.write(file, file.relative_to(root))
+        sc.addPyFile(str(target))
+        _shipped.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the provided tables, for a query of this subpackage."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -62,9 +62,13 @@ def _pieces(data: bytes):
         at = end
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of the words of folded ``data``, in order."""
-    found = []
+def word_hashes(data: bytes, beginnings: tuple[int, ...] = ()) -> np.ndarray:
+    """64-bit hashes of the words of folded ``data``, in order.
+
+    With ``beginnings``, also those of the first so many bytes of each word that is longer, in
+    further arrays (a list comes back).
+    """
+    found: list[list[np.ndarray]] = [[] for _ in range(1 + len(beginnings))]
     for piece in _pieces(data):
         raw = np.frombuffer(piece, dtype=np.uint8)
         inside = np.zeros(len(raw) + 2, dtype=np.int8)
@@ -76,8 +80,12 @@ def word_hashes(data: bytes) -> np.ndarray:
         power, inverse = _tables(len(raw) + 1)
         total = np.zeros(len(raw) + 1, dtype=np.uint64)
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=total[1:])
-        found.append(mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)))
-    return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
+        found[0].append(mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)))
+        for own, n in zip(found[1:], beginnings, strict=True):
+            at = starts[ends - starts > n]
+            own.append(mix((total[at + n] - total[at]) * inverse[at] + np.uint64(1_000 + n)))
+    out = [np.concatenate(x) if x else np.zeros(0, dtype=np.uint64) for x in found]
+    return out if beginnings else out[0]
 
 
 _SHINGLE = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]

@@ -21,7 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: No source is repeated more often than this.
 MAX_EPOCHS = 3
 #: Rows of a source for each bucket of keys.
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET = 2_000
 SEED = "mix-1"
 
 

@@ -7,12 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import materialise, mixing, packing, quality, sharding, toxicity
 from ._shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def vocabulary() -> str:
+    """The vocabulary file of the public byte-level BPE that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior quality of every document, by its text, path (language) and host (source)."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of nearly equal bytes."""
     placed = sharding.histogram_shard(table(spark, sf_dir, "documents"), 8, keep=["doc_id"])
@@ -21,14 +33,33 @@ def op2_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that the mix takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every token sequence of all documents with its place in the training shards."""
+    return materialise.materialise(table(spark, sf_dir, "documents"), vocabulary())
+
+
 QUERIES: dict[str, Query] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_histogram_shards": op2_histogram_shards,
+    "op7_toxicity": op7_toxicity,
+    "op8_pack_sequences": op8_pack_sequences,
     "op9_mix_sources": op9_mix_sources,
+    "op10_training_order": op10_training_order,
 }
 
 ORACLE_SQL: dict[str, str] = {}
