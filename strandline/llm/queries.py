@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import materialise, mixing, packing, quality, sharding, toxicity
+from . import fingerprints, licenses, materialise, mixing, packing, quality, sharding, topk, toxicity
 from ._shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,23 @@ def op2_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences in every whole document."""
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.withColumn("spans", F.to_json("spans"))
+
+
+def op4_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrase fingerprints of every whole document and of its edited text."""
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents"))
+
+
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every vector whose id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.exact_topk(vectors, vectors.filter(F.col("vec_id") % 20 == 0), 20)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every document."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -56,6 +73,9 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_histogram_shards": op2_histogram_shards,
+    "op3_license_scan": op3_license_scan,
+    "op4_lz_fingerprints": op4_lz_fingerprints,
+    "op5_exact_topk": op5_exact_topk,
     "op7_toxicity": op7_toxicity,
     "op8_pack_sequences": op8_pack_sequences,
     "op9_mix_sources": op9_mix_sources,
