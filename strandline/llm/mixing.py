@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import fresh, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: No source is repeated more often than this.
@@ -79,8 +79,8 @@ def mix(
     """How many words the mix takes of every document.
 
     Returns one row for each row of ``df``: ``doc_id``, ``size`` (its words), ``source_size``,
-    ``target``, ``taken`` (long; ``epochs * size`` plus what the sample takes), ``epochs`` and
-    ``text_hash``.
+    ``target``, ``taken`` (long; ``epochs * size`` plus what the sample takes), ``epochs``,
+    ``text_hash`` and ``source``.
 
     Defined cases: a null text has no words, takes nothing and keeps its row; null sources are
     one source, the last; null ids share one key; equal keys are ordered by text hash and size,
@@ -117,5 +117,28 @@ def mix(
     sampled = F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - start))
     return rows.select(
         "doc_id", "size", "source_size", "target",
-        (F.col("epochs") * F.col("size") + sampled).cast("long").alias("taken"), "epochs", "text_hash",
+        (F.col("epochs") * F.col("size") + sampled).cast("long").alias("taken"), "epochs", "text_hash", "source",
     )
+
+
+def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = SEED) -> DataFrame:
+    """The rows of the mix, with the columns of ``df``: every document as often as it is taken.
+
+    Documents stay whole here: the one that is taken in part is repeated once more if more than
+    half of it is taken. The rows of a text and id are alike in how much is taken of them,
+    except for equal rows, of which those that sort first are taken.
+    """
+    i, h, s, k = fresh(df, "i", "h", "s", "k")
+    counts = mix(df, id_col, text_col, source_col, seed=seed)
+    whole = F.round(F.col("taken") / F.greatest(F.lit(1), F.col("size"))).cast("int")
+    counts = counts.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.col("source").alias(s), whole.alias("times")).filter("times > 0")
+    # equal rows share a count: the sum is dealt over them as evenly as it goes
+    shared = counts.groupBy(i, h, s).agg(F.sum("times").alias("t_times"))
+    n, at = fresh(df, "n", "at")
+    keyed = df.withColumn(k, F.xxhash64(F.col(text_col)))
+    same = F.col(id_col).eqNullSafe(F.col(i)) & F.col(source_col).eqNullSafe(F.col(s)) & (F.col(k) == F.col(h))
+    rows = keyed.join(shared, same)
+    window = Window.partitionBy(id_col, source_col, k)
+    rows = rows.withColumn(n, F.count(F.lit(1)).over(window)).withColumn(at, F.row_number().over(window.orderBy(F.lit(1))))
+    times = F.floor(F.col("t_times") / F.col(n)) + (F.col(at) <= F.col("t_times") % F.col(n)).cast("int")
+    return rows.withColumn(at, F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*[F.col(f"`{c}`") for c in df.columns])

@@ -32,7 +32,7 @@ from ._tokens import tokens
 CAPACITY = 2048
 END_ID = 0
 #: (task, length) tables of at most so many rows are broadcast.
-BROADCAST_COUNTS = 100_000
+BROADCAST_COUNTS = 20_000
 
 
 def pack_histogram(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:

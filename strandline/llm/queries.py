@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, licenses, materialise, mixing, packing, quality, sharding, topk, toxicity
+from . import fingerprints, licenses, materialise, mixing, near_duplicates, packing, quality, sharding, topk, toxicity
 from ._shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,11 @@ def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_topk(vectors, vectors.filter(F.col("vec_id") % 20 == 0), 20)
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near duplicates and the number of links of every document."""
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every document."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -76,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op3_license_scan": op3_license_scan,
     "op4_lz_fingerprints": op4_lz_fingerprints,
     "op5_exact_topk": op5_exact_topk,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_toxicity": op7_toxicity,
     "op8_pack_sequences": op8_pack_sequences,
     "op9_mix_sources": op9_mix_sources,
