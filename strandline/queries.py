@@ -1,10 +1,596 @@
-"""The lineage queries bound to the provided tables."""
+"""The lineage queries bound to the provided tables, and their DuckDB equivalents.
+
+Entities are shown as ``ns/kind/id``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import identity
+from .functions import telemetry as t
+from .functions.attributes import counter_of, format_value, saturating_sum, text_of, title_of
+from .functions.text import clean_text, compact_text, detail_uri, entity_uri, percent_encode, plain_entity, render_url, time_parts
+from .model import Log, canonical, external, external_key
+from .operators import graph, replay, retention, validate
+from .operators.predicates import And, EntityType, Not, Or, PropertyEquals
+from .plans import chronicle
+from .sources import hooks, spool, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+ORDER, CUSTOMER, NATION = (external_key("tpch", k, i) for k, i in (("order", "1"), ("customer", "1"), ("nation", "1")))
+
+
+def query(sql: str | None = None):
+    """Register a query under its name, with its SQL."""
+
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _shown(*names: str) -> list[Column]:
+    return [plain_entity(F.col(n)).alias(n) for n in names]
+
+
+def _relations(df: DataFrame) -> DataFrame:
+    return df.select(F.col("name").alias("relation"), *_shown("src", "dst"), "event_id")
+
+
+# --- the graph in SQL -------------------------------------------------------------------------
+
+_E = "'tpch/{}/' || CAST({} AS VARCHAR)"
+
+
+def _rel(name: str, a: str, a_id: str, b: str, b_id: str, event: str, event_id: str, source: str) -> str:
+    return f"SELECT '{name}' AS relation, {_E.format(a, a_id)} AS src, {_E.format(b, b_id)} AS dst, '{event}-' || CAST({event_id} AS VARCHAR) AS event_id FROM {source}"
+
+
+_EDGES = " UNION ALL ".join([
+    _rel("placed-by", "order", "o_orderkey", "customer", "o_custkey", "order", "o_orderkey", "orders"),
+    _rel("located-in", "customer", "c_custkey", "nation", "c_nationkey", "customer", "c_custkey", "customer"),
+    _rel("based-in", "supplier", "s_suppkey", "nation", "s_nationkey", "supplier", "s_suppkey", "supplier"),
+    _rel("part-of", "nation", "n_nationkey", "region", "n_regionkey", "nation", "n_nationkey", "nation"),
+    _rel("contains", "order", "l_orderkey", "part", "l_partkey", "order", "l_orderkey", "(SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)"),
+    _rel("supplied-by", "part", "l_partkey", "supplier", "l_suppkey", "part", "l_partkey", "(SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)"),
+    _rel("annotates", "label", "doc_id", "document", "doc_id", "label", "doc_id", "(SELECT DISTINCT doc_id FROM labels)"),
+    _rel("peer-of", "nation", "a.n_nationkey", "nation", "b.n_nationkey", "nation", "a.n_nationkey", "nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey"),
+])
+_ROLES = ", ".join(f"('{n}', '{role}', '{d}')" for n, _, _, role, d in tables.RELATIONS)
+_BASE = f"edges AS MATERIALIZED ({_EDGES}), rel(relation, role, direction) AS (VALUES {_ROLES})"
+_OUT = "SELECT relation, src, dst, event_id, src AS here, dst AS there FROM {e}"
+_BACK = "SELECT relation, src, dst, event_id, dst AS here, src AS there FROM {e}"
+_EXPLAINED = (
+    "SELECT e.relation, src, dst, event_id, src AS here, dst AS there, role FROM edges e JOIN rel USING (relation) WHERE direction IN ('from-explained-by-to', 'symmetric') "
+    "UNION ALL SELECT e.relation, src, dst, event_id, dst, src, role FROM edges e JOIN rel USING (relation) WHERE direction IN ('to-explained-by-from', 'symmetric')"
+)
+
+
+def _search(steps: str, root: str, depth: int, then: str, edges: str = "edges", base: str = _BASE) -> str:
+    walk = f"walk(entity, depth) AS (SELECT '{root}', 0 UNION SELECT s.there, w.depth + 1 FROM walk w JOIN steps s ON s.here = w.entity WHERE w.depth < {depth})"
+    return f"WITH RECURSIVE {base}, steps AS MATERIALIZED ({steps.format(e=edges)}), {walk}, found AS (SELECT entity, min(depth) AS depth FROM walk GROUP BY entity) {then}"
+
+
+_NODES = "SELECT entity FROM found"
+
+
+def _edges_of(depth: int) -> str:
+    return f"SELECT DISTINCT relation, src, dst, event_id FROM steps JOIN found ON here = entity WHERE depth < {depth}"
+
+
+# --- graph queries ----------------------------------------------------------------------------
+
+
+@query("SELECT 'tpch/order/1' AS entity")
+def q_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.lookup(tables.graph_log(spark, sf_dir), ORDER).entities.select(*_shown("entity"))
+
+
+def _history_log(spark: SparkSession, sf_dir: str) -> Log:
+    """Orders as events: an order's event has its customer as subject and records its relations."""
+    log = tables.graph_log(spark, sf_dir)
+    orders = read(spark, sf_dir, "orders")
+    name = F.concat(F.lit("order-"), F.col("o_orderkey").cast("string"))
+    log.tables["subjects"] = orders.select(name.alias("event_id"), tables.key("customer", "o_custkey").alias("entity"))
+    log.tables["events"] = log.relations.select("op_id", "event_id").distinct()
+    log.tables["observations"] = tables.observation_log(spark, sf_dir).observations
+    return log
+
+
+_TOUCHING = f"""WITH {_BASE}, touching AS (SELECT 'order-' || CAST(o_orderkey AS VARCHAR) AS event_id FROM orders WHERE o_custkey = 1
+ UNION SELECT event_id FROM edges WHERE src = 'tpch/customer/1' OR dst = 'tpch/customer/1')"""
+
+
+@query(f"{_TOUCHING} SELECT event_id FROM touching")
+def q_history_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.history(_history_log(spark, sf_dir), CUSTOMER).events
+
+
+@query(f"{_TOUCHING} SELECT event_id AS op_id FROM touching UNION SELECT 'customer-1' UNION SELECT 'order-' || CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_custkey = 1")
+def q_history_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.history(_history_log(spark, sf_dir), CUSTOMER).operations
+
+
+def _traverse(spark: SparkSession, sf_dir: str, root: str, **how) -> graph.Result:
+    log = tables.graph_log(spark, sf_dir)
+    return graph.traverse(log, graph.roots_of(log, root), **how)
+
+
+@query(_search(_OUT, "tpch/order/1", 3, _NODES))
+def q_traverse_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _traverse(spark, sf_dir, ORDER, direction="outgoing", max_depth=3).entities.select(*_shown("entity"))
+
+
+@query(_search(_BACK, "tpch/nation/1", 2, _NODES))
+def q_traverse_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _traverse(spark, sf_dir, NATION, direction="incoming", max_depth=2).entities.select(*_shown("entity"))
+
+
+@query(_search(f"{_OUT} UNION ALL {_BACK}", "tpch/order/1", 2, _edges_of(2)))
+def q_traverse_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _relations(_traverse(spark, sf_dir, ORDER, direction="both", max_depth=2).edges)
+
+
+@query(_search(_OUT, "tpch/order/1", 4, _NODES, "(SELECT * FROM edges WHERE relation IN ('placed-by', 'located-in'))"))
+def q_traverse_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    types = [("tpch", "placed-by"), ("tpch", "located-in")]
+    return _traverse(spark, sf_dir, ORDER, selector="types", types=types, max_depth=4).entities.select(*_shown("entity"))
+
+
+@query(_search(_BACK, "tpch/nation/1", 1, _edges_of(1), "(SELECT e.* FROM edges e JOIN rel USING (relation))"))
+def q_traverse_explanatory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _relations(_traverse(spark, sf_dir, NATION, direction="incoming", selector="explanatory", max_depth=1).edges)
+
+
+@query(_search(_OUT, "tpch/order/1", 2, """SELECT entity FROM found WHERE (entity LIKE 'tpch/part/%' OR entity LIKE 'tpch/nation/%') OR
+ (entity LIKE 'tpch/customer/%' AND entity IN (SELECT 'tpch/customer/' || CAST(o_custkey AS VARCHAR) FROM (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS s FROM orders GROUP BY o_custkey) WHERE s <> 'X'))"""))
+def q_traverse_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = tables.graph_log(spark, sf_dir)
+    log.tables["observations"] = tables.observation_log(spark, sf_dir).observations
+    of = lambda kind: EntityType("external", "tpch", kind)
+    wanted = Or([of("part"), of("nation"), And([of("customer"), Not(PropertyEquals("status", "string", "X"))])])
+    found = graph.traverse(log, graph.roots_of(log, ORDER), max_depth=2, predicate=wanted)
+    return found.entities.select(*_shown("entity"))
+
+
+@query(_search(_EXPLAINED, "tpch/order/1", 3, _NODES))
+def q_explain_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.explain(tables.graph_log(spark, sf_dir), ORDER, 3).entities.select(*_shown("entity"))
+
+
+@query(_search(_EXPLAINED, "tpch/order/1", 3, _edges_of(3)))
+def q_explain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _relations(graph.explain(tables.graph_log(spark, sf_dir), ORDER, 3).edges)
+
+
+@query(_search(f"SELECT * FROM ({_EXPLAINED}) WHERE role IN ('primary', 'supporting')", "tpch/order/1", 10, _NODES))
+def q_explain_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.explain(tables.graph_log(spark, sf_dir), ORDER, None, ["primary", "supporting"]).entities.select(*_shown("entity"))
+
+
+@query("SELECT 'tpch/order/1' AS entity, CAST(0 AS BIGINT) AS edges")
+def q_explain_depth0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = graph.explain(tables.graph_log(spark, sf_dir), ORDER, 0)
+    n = found.edges.agg(F.count(F.lit(1)).alias("edges"))
+    return found.entities.select(*_shown("entity")).join(n, F.lit(True), "left").select("entity", "edges")
+
+
+@query(_search(_EXPLAINED, "tpch/document/0", 2, _NODES))
+def q_explain_target_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations whose target is explained by their origin."""
+    return graph.explain(tables.graph_log(spark, sf_dir), external_key("tpch", "document", "0"), 2).entities.select(*_shown("entity"))
+
+
+@query(_search(_EXPLAINED, "tpch/customer/1", 2, _NODES))
+def q_named_why(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans import named
+
+    log = tables.graph_log(spark, sf_dir)
+    log.tables["named_queries"] = named.named_query_table(log, [("schemas", 1, "tpch", "1", "why", "external", "tpch", "customer", "explain", 2, [], None, None, [])])
+    return named.instantiate(log, "tpch", "1", "why", CUSTOMER).entities.select(*_shown("entity"))
+
+
+@query()
+def q_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The greedy causal path from an order: step, entity, relation."""
+    log = tables.graph_log(spark, sf_dir)
+    found = graph.explain(log, ORDER, 3)
+    steps = graph.causal_path(found.edges, log.relation_schemas, ORDER, 3)
+    rows = [(i + 1, s["there"], s["name"], s["forward"]) for i, s in enumerate(steps)]
+    return spark.createDataFrame(rows, "step int, entity string, relation string, forward boolean").withColumn("entity", plain_entity(F.col("entity")))
+
+
+# --- replay -----------------------------------------------------------------------------------
+
+
+@query("""SELECT 'tpch/customer/' || CAST(c_custkey AS VARCHAR) AS entity, coalesce(s, '') AS status, coalesce(p, '') AS priority, CASE WHEN s IS NULL THEN c_name ELSE '' END AS name
+ FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS s, arg_max(o_orderpriority, o_orderkey) AS p FROM orders GROUP BY 1) ON o_custkey = c_custkey
+ UNION ALL SELECT 'tpch/order/' || CAST(o_orderkey AS VARCHAR), o_orderstatus, o_orderpriority, '' FROM orders""")
+def q_entities_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    latest = replay.latest_entities(tables.observation_log(spark, sf_dir))
+    text = lambda n: F.coalesce(text_of(F.col("attrs"), n), F.lit("")).alias(n)
+    return latest.select(*_shown("entity"), text("status"), text("priority"), text("name"))
+
+
+@query("""SELECT entity, count(DISTINCT op_id) AS operations FROM (
+ SELECT 'tpch/customer/' || CAST(c_custkey AS VARCHAR) AS entity, 'customer-' || CAST(c_custkey AS VARCHAR) AS op_id FROM customer
+ UNION ALL SELECT 'tpch/customer/' || CAST(o_custkey AS VARCHAR), 'order-' || CAST(o_orderkey AS VARCHAR) FROM orders
+ UNION ALL SELECT 'tpch/order/' || CAST(o_orderkey AS VARCHAR), 'order-' || CAST(o_orderkey AS VARCHAR) FROM orders) GROUP BY entity""")
+def q_entity_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = replay.entity_history(tables.observation_log(spark, sf_dir))
+    return seen.groupBy("entity").agg(F.count(F.lit(1)).alias("operations")).select(*_shown("entity"), "operations")
+
+
+_TURN = "'turn-' || CAST(conv_id AS VARCHAR) || '-' || CAST({} AS VARCHAR)"
+
+
+@query(f"SELECT {_TURN.format('max(turn)')} AS op_id FROM conversations GROUP BY conv_id")
+def q_op_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.operation_heads(tables.turn_log(spark, sf_dir))
+
+
+@query(f"SELECT {_TURN.format('turn')} AS event_id FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.turn = c.turn + 1)")
+def q_event_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.event_heads(tables.turn_log(spark, sf_dir))
+
+
+@query(f"SELECT {_TURN.format('turn')} AS op_id, CAST(turn AS INTEGER) AS layer FROM conversations")
+def q_op_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.layers(tables.turn_log(spark, sf_dir))
+
+
+@query(f"""SELECT op_id, CAST(row_number() OVER (ORDER BY turn, rank) - 1 AS BIGINT) AS topo FROM (
+ SELECT {_TURN.format('turn')} AS op_id, turn, row_number() OVER (PARTITION BY turn ORDER BY 'turn-' || CAST(conv_id AS VARCHAR) || '-0') AS rank FROM conversations)""")
+def q_topological_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First-in-first-out order: chains of turns advance side by side, in the order of their roots."""
+    return replay.topological_order(tables.turn_log(spark, sf_dir))
+
+
+@query(f"SELECT 'chat/turn/' || CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS source, {_TURN.format('turn')} AS op_id, {_TURN.format('turn')} AS primary_event FROM conversations")
+def q_source_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.source_map(tables.turn_log(spark, sf_dir)).withColumn("source", plain_entity(F.col("source")))
+
+
+@query(f"SELECT {_TURN.format('turn')} AS op_id FROM conversations WHERE conv_id % 2 = 0")
+def q_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the heads of the even conversations descend from."""
+    log = tables.turn_log(spark, sf_dir)
+    even = F.regexp_extract("op_id", r"^turn-(\d+)-", 1).cast("long") % 2 == 0
+    return replay.reachable(log, replay.operation_heads(log).filter(even))
+
+
+@query(f"SELECT DISTINCT {_TURN.format('turn')} AS op_id FROM conversations")
+def q_merge_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log split by role, with the system's turns in both halves, merges to itself."""
+    log = tables.turn_log(spark, sf_dir)
+    operations = log.operations.withColumn("attrs", F.lit(None).cast("map<string, struct<tag: string, text: string>>"))
+    roles = log.events.select("op_id", F.col("actor").alias("role"))
+    halves = []
+    for own in ("user", "assistant"):
+        mine = roles.filter(F.col("role").isin(own, "system")).select("op_id")
+        halves.append(Log(spark, {"operations": operations.join(mine, "op_id", "left_semi"), "parents": log.parents.join(mine, "op_id", "left_semi")}))
+    return replay.merge(*halves).operations.select("op_id").distinct()
+
+
+@query("""WITH actual AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 3 = 0), expected AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 6 = 0), following AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 4 = 0)
+ SELECT CAST(k AS VARCHAR) AS op_id FROM (SELECT k FROM actual UNION SELECT k FROM following) EXCEPT (SELECT CAST(k AS VARCHAR) FROM expected EXCEPT SELECT CAST(k AS VARCHAR) FROM following)""")
+def q_publish_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read(spark, sf_dir, "orders")
+    of = lambda n: orders.filter(F.col("o_orderkey") % n == 0).select(F.col("o_orderkey").cast("string").alias("op_id"))
+    return replay.publish_heads(of(3), of(6), of(4))
+
+
+@query("SELECT CAST(l_orderkey AS VARCHAR) || '/' || CAST(l_linenumber AS VARCHAR) AS id, count(DISTINCT (l_partkey, l_suppkey)) > 1 AS collides FROM lineitem GROUP BY l_orderkey, l_linenumber")
+def q_declare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items declared by order and line number: the same id with another part or supplier collides."""
+    rows = read(spark, sf_dir, "lineitem").withColumn("id", F.concat_ws("/", "l_orderkey", "l_linenumber"))
+    return replay.declare(rows, "id", F.concat_ws(":", "l_partkey", "l_suppkey"))
+
+
+# --- retention --------------------------------------------------------------------------------
+
+_STEPS = """steps AS (SELECT event_id AS pos, user_id, event_type AS kind, CASE event_type WHEN 'view' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END AS strength FROM events WHERE event_type IN ('view', 'purchase', 'error')
+ UNION ALL SELECT event_id, user_id, kind, NULL FROM events, (VALUES ('view'), ('purchase'), ('error')) k(kind) WHERE event_type = 'signup'),
+ active AS (SELECT user_id, kind, arg_max(coalesce(strength, -1), pos) AS strength FROM steps GROUP BY user_id, kind HAVING arg_max(coalesce(strength, -1), pos) >= 0)"""
+
+
+@query(f"WITH {_STEPS} SELECT 'claim/' || CAST(user_id AS VARCHAR) || '/' || kind AS claim_id, CAST(strength AS INTEGER) AS strength FROM active")
+def q_active_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retention.active_claims(tables.claim_steps(spark, sf_dir)).select("claim_id", "strength")
+
+
+@query(f"WITH {_STEPS} SELECT 'tpch/user/' || CAST(user_id AS VARCHAR) AS resource, CAST(max(strength) AS INTEGER) AS strength FROM active GROUP BY user_id")
+def q_effective_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retention.effective_retention(retention.active_claims(tables.claim_steps(spark, sf_dir))).select(*_shown("resource"), "strength")
+
+
+@query(f"""WITH {_STEPS}, states AS (SELECT user_id, pos, CASE WHEN e.a > coalesce(s.a, -1) THEN 2 WHEN p.a > coalesce(s.a, -1) THEN 1 WHEN v.a > coalesce(s.a, -1) THEN 0 END AS after FROM (
+ SELECT event_id AS pos, user_id FROM events WHERE event_type <> 'click') x
+ ASOF LEFT JOIN (SELECT user_id AS u, event_id AS a FROM events WHERE event_type = 'error') e ON e.u = user_id AND e.a <= pos
+ ASOF LEFT JOIN (SELECT user_id AS u, event_id AS a FROM events WHERE event_type = 'purchase') p ON p.u = user_id AND p.a <= pos
+ ASOF LEFT JOIN (SELECT user_id AS u, event_id AS a FROM events WHERE event_type = 'view') v ON v.u = user_id AND v.a <= pos
+ ASOF LEFT JOIN (SELECT user_id AS u, event_id AS a FROM events WHERE event_type = 'signup') s ON s.u = user_id AND s.a <= pos),
+ lagged AS (SELECT *, lag(after) OVER (PARTITION BY user_id ORDER BY pos) AS before FROM states)
+ SELECT 'tpch/user/' || CAST(user_id AS VARCHAR) AS resource, pos AS event_id, coalesce(before, -1) AS before, coalesce(after, -1) AS after,
+ CASE WHEN before IS NULL THEN 'became-required' WHEN after IS NULL THEN 'became-unrequired' WHEN before < after THEN 'strengthened' ELSE 'weakened' END AS transition
+ FROM lagged WHERE before IS DISTINCT FROM after""")
+def q_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of what must be kept for each user, event by event."""
+    steps = tables.claim_steps(spark, sf_dir)
+    # a signup's three releases are one step
+    found = retention.transitions(steps).select("resource", F.col("at.topo").alias("event_id"), "claim_id", "before", "after")
+    order = Window.partitionBy("resource", "event_id").orderBy("claim_id")
+    whole = found.withColumn("n", F.row_number().over(order))
+    ends = whole.groupBy("resource", "event_id").agg(F.min_by(F.struct("before"), "n").alias("b"), F.max_by(F.struct("after"), "n").alias("a"))
+    before, after = F.col("b.before"), F.col("a.after")
+    return ends.select(
+        *_shown("resource"), "event_id", F.coalesce(before, F.lit(-1)).alias("before"), F.coalesce(after, F.lit(-1)).alias("after"),
+        retention.transition(before, after).alias("transition"),
+    ).filter("transition IS NOT NULL")
+
+
+@query(f"""WITH {_STEPS}, needed AS (SELECT user_id, CAST(max(strength) AS INTEGER) AS required FROM active GROUP BY user_id),
+ seen AS (SELECT c_custkey, CAST(CASE WHEN c_acctbal > 5000 THEN 2 WHEN c_acctbal > 0 THEN 1 ELSE 0 END AS INTEGER) AS observed FROM customer)
+ SELECT 'tpch/user/' || CAST(user_id AS VARCHAR) AS resource, required, observed, coalesce(observed >= required, FALSE) AS satisfied FROM needed LEFT JOIN seen ON c_custkey = user_id""")
+def q_satisfied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    needed = retention.effective_retention(retention.active_claims(tables.claim_steps(spark, sf_dir)))
+    held = F.when(F.col("c_acctbal") > 5000, 2).when(F.col("c_acctbal") > 0, 1).otherwise(0)
+    seen = read(spark, sf_dir, "customer").select(tables.key("user", "c_custkey").alias("resource"), held.cast("int").alias("retention"))
+    return retention.satisfied(needed, seen).withColumn("resource", plain_entity(F.col("resource")))
+
+
+@query(f"""WITH {_STEPS}, want AS (SELECT DISTINCT user_id AS u FROM active), have AS (SELECT c_custkey AS u FROM customer WHERE c_custkey % 2 = 0)
+ SELECT 'tpch/user/' || CAST(coalesce(w.u, h.u) AS VARCHAR) AS resource, CASE WHEN h.u IS NULL THEN 'create' ELSE 'remove' END AS action FROM want w FULL JOIN have h ON w.u = h.u WHERE w.u IS NULL OR h.u IS NULL""")
+def q_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    want = retention.effective_retention(retention.active_claims(tables.claim_steps(spark, sf_dir)))
+    have = read(spark, sf_dir, "customer").filter("c_custkey % 2 = 0").select(tables.key("user", "c_custkey").alias("resource"))
+    return retention.reconcile(want, have).withColumn("resource", plain_entity(F.col("resource")))
+
+
+# --- validation -------------------------------------------------------------------------------
+
+
+@query("""SELECT 'order-' || CAST(o_orderkey AS VARCHAR) || '#0' AS subject, 'MissingField' AS code, 'clerk' AS detail FROM orders WHERE o_orderkey % 2 = 1
+ UNION ALL SELECT 'order-' || CAST(o_orderkey AS VARCHAR) || '#0', 'InvalidFieldType', 'total' FROM orders WHERE o_totalprice < 50000
+ UNION ALL SELECT 'order-' || CAST(o_orderkey AS VARCHAR) || '#0', 'UnknownField', 'extra' FROM orders WHERE o_orderstatus = 'P'
+ UNION ALL SELECT 'order-' || CAST(o_orderkey AS VARCHAR) || '#1', 'UnknownEntityType', 'tpch/basket' FROM orders WHERE o_orderkey % 10 = 0
+ UNION ALL SELECT 'order-' || CAST(o_orderkey AS VARCHAR) || '#1', 'MissingSchema', 'tpch@2' FROM orders WHERE o_orderkey % 10 = 1""")
+def q_validate_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders against a schema: status and clerk (every other order lacks it) are needed strings,
+    total a decimal (a null below 50000), and nothing else is known."""
+    orders = read(spark, sf_dir, "orders")
+    string = lambda c: F.struct(F.lit("string").alias("tag"), c.cast("string").alias("text"))
+    small = F.col("o_totalprice") < 50000
+    total = F.struct(F.when(small, "null").otherwise("decimal").alias("tag"), F.when(~small, F.col("o_totalprice").cast("string")).alias("text"))
+    attrs = F.create_map(F.lit("status"), string(F.col("o_orderstatus")), F.lit("total"), total)
+    attrs = F.when(F.col("o_orderkey") % 2 == 0, F.map_concat(attrs, F.create_map(F.lit("clerk"), string(F.col("o_custkey"))))).otherwise(attrs)
+    attrs = F.when(F.col("o_orderstatus") == "P", F.map_concat(attrs, F.create_map(F.lit("extra"), string(F.lit("?"))))).otherwise(attrs)
+    op = F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("op_id")
+    mine = orders.select(op, F.lit(0).alias("ord"), tables.key("order", "o_orderkey").alias("entity"), F.lit("tpch").alias("ns"), F.lit("1").alias("version"), attrs.alias("attrs"))
+    odd = orders.filter("o_orderkey % 10 < 2")
+    kind = F.when(F.col("o_orderkey") % 10 == 0, "basket").otherwise("order")
+    odd = odd.select(op, F.lit(1).alias("ord"), external("tpch", kind, F.col("o_orderkey")).alias("entity"), F.lit("tpch").alias("ns"), F.when(F.col("o_orderkey") % 10 == 0, "1").otherwise("2").alias("version"), attrs.alias("attrs"))
+    log = Log.of(
+        spark, schemas=[("schemas", 0, "tpch", "1")], entity_schemas=[("tpch", "1", "order", False)],
+        fields=[("tpch", "1", "order", "status", "string", True), ("tpch", "1", "order", "clerk", "string", True), ("tpch", "1", "order", "total", "decimal", False)],
+    )
+    return validate.observation_faults(mine.unionByName(odd), log)
+
+
+@query("""SELECT 'line-' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_partkey AS VARCHAR) AS subject,
+ CASE WHEN l_partkey % 5 = 0 THEN 'InvalidSelfRelation' WHEN l_partkey % 5 = 1 THEN 'MissingSchema' WHEN l_partkey % 5 = 2 THEN 'UnknownRelation' ELSE 'InvalidRelationEndpoints' END AS code,
+ CASE WHEN l_partkey % 5 = 2 THEN 'tpch/lost' ELSE 'tpch/contains' END AS detail FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) WHERE l_partkey % 5 < 4""")
+def q_validate_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order and part pairs, made faulty in four ways by the part key."""
+    pairs = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    case = F.col("l_partkey") % 5
+    order, item = tables.key("order", "l_orderkey"), tables.key("part", "l_partkey")
+    rows = pairs.select(
+        F.concat(F.lit("line-"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_partkey").cast("string")).alias("event_id"), F.lit("tpch").alias("ns"),
+        F.when(case == 1, "9").otherwise("1").alias("version"), F.lit("tpch").alias("rel_ns"), F.when(case == 2, "lost").otherwise("contains").alias("name"),
+        order.alias("src"), F.when(case == 0, order).when(case == 3, tables.key("region", "l_partkey")).otherwise(item).alias("dst"),
+    )
+    return validate.relation_faults(rows, tables.graph_log(spark, sf_dir))
+
+
+# --- identities and texts ---------------------------------------------------------------------
+
+
+@query("""SELECT event_id, sha256('provenance/v1' || chr(0) || 'event' || chr(0) || 'user:' || CAST(user_id AS VARCHAR) || chr(0) || 'event:' || CAST(event_id % 7 AS VARCHAR)) AS id,
+ sha256('provenance-agent/link/v1' || chr(0) || CAST(strlen(event_type) AS VARCHAR) || ':' || event_type || chr(0)) AS link,
+ 'provenance-plugin/v2' || chr(0) || '4:tpch' || chr(0) || '6:loader' || chr(0) || CAST(strlen(CAST(user_id AS VARCHAR)) AS VARCHAR) || ':' || CAST(user_id AS VARCHAR) AS seed FROM events""")
+def q_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    user = F.concat(F.lit("user:"), F.col("user_id").cast("string"))
+    return read(spark, sf_dir, "events").select(
+        "event_id", identity.event_id(user, F.col("event_id") % 7).alias("id"), identity.digest_id(identity.LINK_DOMAIN, F.col("event_type")).alias("link"),
+        identity.plugin_seed("tpch", "loader", F.col("user_id").cast("string")).alias("seed"),
+    )
+
+
+@query("""SELECT conv_id, turn, length(c) AS chars, CASE WHEN length(c) > 48 THEN left(c, 47) || '…' ELSE c END AS short, md5(c) AS digest
+ FROM (SELECT conv_id, turn, regexp_replace(replace(replace(replace(text, chr(10), '↵'), chr(13), '␍'), chr(9), '⇥'), '[\\x00-\\x1f\\x7f-\\x9f]', '�', 'g') AS c FROM conversations)""")
+def q_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(clean_text(text)).cast("long").alias("chars"), compact_text(text).alias("short"), F.md5(clean_text(text).cast("binary")).alias("digest"))
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H:%M:%S') AS time, 'undated' AS plain_date, '--:--:--' AS plain_time FROM events""")
+def q_ts_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    date, time = time_parts(stamp)
+    millis = F.concat(F.unix_millis(F.col("ts").cast("timestamp")).cast("string"), F.lit("@0"))
+    other_date, other_time = time_parts(millis)
+    return read(spark, sf_dir, "events").select("event_id", date.alias("date"), time.alias("time"), other_date.alias("plain_date"), other_time.alias("plain_time"))
+
+
+@query("""SELECT page_id, 'https://traces.example/' || u || '?p=' || u AS link FROM (SELECT page_id, url_encode(url) AS u FROM pages)""")
+def q_url_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", render_url("https://traces.example/{trace_id}?p={provider}", trace_id=F.col("url"), provider=F.col("url")).alias("link"))
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k') AS k, 'tpch://user/' || CAST(user_id AS VARCHAR) AS uri, 'prov://tpch/user/' || CAST(user_id AS VARCHAR) AS detail FROM events""")
+def q_json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.parse_json("props")
+    key = tables.key("user", "user_id")
+    k = F.coalesce(t.string_at(v, "k"), F.try_variant_get(v, "$.k", "string"))
+    return read(spark, sf_dir, "events").select("event_id", k.alias("k"), entity_uri(key).alias("uri"), detail_uri(key).alias("detail"))
+
+
+@query("""SELECT event_id, event_type AS cursor, 'update/' || CAST(user_id AS VARCHAR) || '/' || strftime(ts, '%Y-%m-%d') AS source_id, 'event ' || event_type AS title, CAST(event_id % 5 AS VARCHAR) AS priority,
+ CASE WHEN event_id % 2 = 0 THEN '["a","' || event_type || '"]' ELSE '' END AS depends_on FROM (SELECT event_id, 'update' AS event_type, user_id, ts FROM events)""")
+def q_tracker_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a tracker's update hooks."""
+    events = read(spark, sf_dir, "events")
+    issue = F.struct(
+        F.col("user_id").cast("string").alias("id"), F.concat(F.lit("event "), F.lit("update")).alias("title"), (F.col("event_id") % 5).alias("priority"),
+        F.date_format("ts", "yyyy-MM-dd").alias("updated_at"), F.when(F.col("event_id") % 2 == 0, F.array(F.lit("a"), F.lit("update"))).alias("depends_on"),
+    )
+    payloads = events.select("event_id", F.to_json(F.struct(F.lit("update").alias("event"), issue.alias("data"), F.col("event_id").alias("n"))).alias("payload"))
+    found = hooks.tracker_requests(payloads.select("payload"))
+    attr = lambda n: F.col("attrs")[n]["text"]
+    n = F.get_json_object("payload", "$.n").cast("long")
+    return found.select(n.alias("event_id"), "cursor", "source_id", attr("title").alias("title"), attr("priority").alias("priority"), F.coalesce(F.try_element_at("attrs", F.lit("depends-on"))["text"], F.lit("")).alias("depends_on"))
+
+
+# --- aggregates, top-k, streams ---------------------------------------------------------------
+
+
+@query("""SELECT CAST(conv_id AS VARCHAR) AS session, CAST(sum(CASE WHEN length(text) % 3 = 0 THEN NULL WHEN length(text) % 3 = 1 THEN turn ELSE length(text) END) AS BIGINT) AS edits FROM conversations GROUP BY conv_id""")
+def q_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters by alias: of three turns one has a text where the count should be, one ``edits``, and
+    one only ``edit-count``."""
+    n = F.length("text") % 3
+    value = lambda tag, c: F.struct(F.lit(tag).alias("tag"), c.cast("string").alias("text"))
+    turns = read(spark, sf_dir, "conversations")
+    attrs = F.when(n == 0, F.create_map(F.lit("edits"), value("string", F.lit("many")), F.lit("edit-count"), value("int", F.lit(7)))).when(n == 1, F.create_map(F.lit("edits"), value("int", F.col("turn")))).otherwise(F.create_map(F.lit("edit-count"), value("int", F.length("text"))))
+    return turns.groupBy(F.col("conv_id").cast("string").alias("session")).agg(saturating_sum(counter_of(attrs, chronicle.EDITS)).cast("long").alias("edits"))
+
+
+@query("""SELECT 'order-' || CAST(o_orderkey AS VARCHAR) AS op_id, strftime(o_orderdate, '%Y-%m-%d') AS date, strftime(o_orderdate, '%H:%M:%S') AS time,
+ strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || ':order-' || CAST(o_orderkey AS VARCHAR) AS sort_key FROM orders""")
+def q_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the orders that observe themselves, with their dates and sort keys."""
+    log = tables.observation_log(spark, sf_dir)
+    seen = log.observations.filter(F.col("op_id").startswith("order-")).drop("topo")
+    ops = seen.select("op_id").distinct().select("op_id", F.lit(None).cast("string").alias("source"), F.lit(None).cast("map<string, struct<tag: string, text: string>>").alias("attrs"))
+    found = chronicle.records(Log(spark, {"observations": seen, "operations": ops}), ops.select("op_id"))
+    return found.select("op_id", "date", "time", "sort_key")
+
+
+@query("""SELECT 'tpch/order/' || CAST(o_orderkey AS VARCHAR) AS entity, o_orderstatus AS status FROM orders WHERE lower(o_orderstatus) NOT IN ('closed', 'done', 'f')
+ UNION ALL SELECT 'tpch/customer/' || CAST(o_custkey AS VARCHAR), s FROM (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS s FROM orders GROUP BY 1) WHERE s <> 'F'""")
+def q_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities that aren't finished; a status F stands for done."""
+    log = tables.observation_log(spark, sf_dir)
+    latest = replay.latest_entities(log)
+    done = F.transform_values("attrs", lambda _, v: F.struct(v["tag"].alias("tag"), F.when(v["text"] == "F", "Done").otherwise(v["text"]).alias("text")))
+    return chronicle.open_entities(latest.withColumn("attrs", done), latest.select("entity")).select(*_shown("entity"), "status")
+
+
+@query("""SELECT op_id, line FROM (SELECT 'turn-' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS op_id, n, line FROM (
+ SELECT conv_id, turn, unnest([1, 2, 3]) AS n, unnest(['  status: "' || role || '"', '  priority: ' || CAST(turn AS VARCHAR), '  event-attributes: +1 attrs omitted']) AS line FROM conversations))""")
+def q_attr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes by priority; those without one are counted."""
+    turns = read(spark, sf_dir, "conversations")
+    op = F.concat(F.lit("turn-"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    attrs = tables.string_attrs(priority__int=F.col("turn"), whatever=F.col("text"), status=F.col("role"), name=F.lit("left out"))
+    lines = chronicle.attribute_lines(turns.select(op.alias("op_id"), attrs.alias("attrs")), ["op_id"], "event-attributes", chronicle.NOT_OF_EVENTS)
+    return lines.select("op_id", F.explode("lines").alias("line"))
+
+
+@query("""SELECT event_id, CAST(coalesce(sum(strlen(props) + 1) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_offset,
+ strlen(props) AS byte_length, sha256(props) AS digest FROM events""")
+def q_spool_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of events in a spool of each user."""
+    events = read(spark, sf_dir, "events").select("event_id", "user_id", "props")
+    return spool.evidence(events, F.col("props"), ["event_id"], ["user_id"]).select("event_id", "byte_offset", "byte_length", "digest")
+
+
+_ARRIVALS = "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS nth, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before, last_value(CASE WHEN role = 'assistant' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS actor FROM conversations"
+
+
+@query(f"SELECT conv_id, role, turn FROM ({_ARRIVALS}) WHERE nth = 1")
+def q_stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event of each key, the key being conversation and role."""
+    from .streaming import relay
+
+    turns = read(spark, sf_dir, "conversations")
+    events = turns.select("conv_id", "role", "turn", F.col("conv_id").cast("string").alias("uuid"), F.lit("scope").alias("kind"), F.col("role").alias("scope_category"), F.col("turn").alias("seq"))
+    return relay.deduplicated(events).select("conv_id", "role", "turn")
+
+
+@query(f"SELECT conv_id, turn, coalesce(before, -1) AS before FROM ({_ARRIVALS})")
+def q_prev_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source before, within a session."""
+    from .streaming import relay
+
+    turns = read(spark, sf_dir, "conversations")
+    rows = turns.select(
+        "conv_id", "turn", F.col("conv_id").cast("string").alias("session"), F.col("turn").alias("seq"), F.concat_ws("/", "conv_id", "turn").alias("source_key"),
+        F.lit(None).cast("string").alias("uuid"), F.lit(None).cast("string").alias("parent_uuid"), F.lit(None).cast("string").alias("scope_category"),
+    )
+    found = relay.with_parents(rows, relay.Config("h", "i"))
+    return found.select("conv_id", "turn", F.coalesce(F.substring_index(F.get("parents", F.lit(0)), "/", -1).cast("long"), F.lit(-1).cast("long")).alias("before"))
+
+
+def relay_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as agent events: a conversation is an agent scope that starts with its first
+    turn; later turns are tool scopes, each within the one before; the first says the session."""
+    turns = read(spark, sf_dir, "conversations")
+    uuid = lambda turn: F.concat(F.lpad(F.hex("conv_id"), 8, "0"), F.lit("-0000-4000-8000-"), F.lpad(F.hex(turn), 12, "0"))
+    first = F.col("turn") == 0
+    meta = F.when(first, F.to_json(F.struct(F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id"), F.col("role").alias("actor_id")))).otherwise(F.lit("{}"))
+    return turns.select(
+        "conv_id", "turn", (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("seq"), F.lit("scope").alias("kind"), F.lower(uuid(F.col("turn"))).alias("uuid"),
+        F.when(~first, F.lower(uuid(F.col("turn") - 1))).alias("parent_uuid"), F.lit("start").alias("scope_category"), F.when(first, "agent").otherwise("tool").alias("category"),
+        F.col("role").alias("name"), F.parse_json(meta).alias("metadata"),
+    )
+
+
+@query("""SELECT c.conv_id, turn, sha256('provenance/v1') = '' AS lost, 's' || CAST(c.conv_id AS VARCHAR) AS telemetry_session,
+ lower(lpad(to_hex(c.conv_id), 8, '0')) || '000040008000' || lpad('0', 12, '0') AS trace, '8000' || lower(lpad(to_hex(turn), 12, '0')) AS span, turn = 0 AS session_start FROM conversations c""")
+def q_session_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions and traces that scopes inherit through their parents."""
+    from .streaming import relay
+
+    rows, _ = relay.resolved(relay_events(spark, sf_dir), relay.Config("h", "i"))
+    return rows.select("conv_id", "turn", F.col("session").isNull().alias("lost"), "telemetry_session", "trace", "span", "session_start")
+
+
+@query(f"SELECT conv_id, turn, coalesce(actor, -1) AS actor FROM ({_ARRIVALS})")
+def q_actor_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last turn of the assistant up to each turn."""
+    last = F.last(F.when(F.col("role") == "assistant", F.col("turn")), ignorenulls=True).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(last, F.lit(-1).cast("long")).alias("actor"))
+
+
+@query("""SELECT entity, attrs FROM (SELECT 'tpch/customer/' || CAST(c_custkey AS VARCHAR) AS entity, 'name="' || c_name || '" segment="' || c_mktsegment || '" nation=' || CAST(c_nationkey AS VARCHAR) AS attrs FROM customer)""")
+def q_format_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = tables.observation_log(spark, sf_dir)
+    seen = log.observations.filter("topo = -1")
+    shown = F.concat_ws(" ", *[F.concat(F.lit(f"{n}="), format_value(F.col("attrs")[n])) for n in ("name", "segment", "nation")])
+    return seen.select(*_shown("entity"), shown.alias("attrs"))
+
+
+@query("""SELECT 'tpch/customer/' || CAST(c_custkey AS VARCHAR) AS entity, c_name AS title, '[{"key":"name","value":{"tag":"string","text":"' || c_name || '"}},{"key":"nation","value":{"tag":"int","text":"' || CAST(c_nationkey AS VARCHAR) || '"}},{"key":"segment","value":{"tag":"string","text":"' || c_mktsegment || '"}}]' AS canon FROM customer""")
+def q_canonical_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = tables.observation_log(spark, sf_dir).observations.filter("topo = -1")
+    return seen.select(*_shown("entity"), title_of(F.col("attrs")).alias("title"), canonical(F.col("attrs")).alias("canon"))
+
+
+@query("SELECT page_id, url_encode(url) AS encoded FROM pages")
+def q_percent_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", percent_encode(F.col("url")).alias("encoded"))
