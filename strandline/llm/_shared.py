@@ -68,11 +68,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 _shipped: set[str] = set()
+#: Bytes of an Arrow batch that goes to a Python worker, so that long texts can't fill it.
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each application."""
+    """Prepare a session for the operators that run Python: send this package to the workers, once
+    for each application, and bound the bytes of an Arrow batch."""
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if sc.applicationId not in _shipped:
         root = Path(__file__).resolve().parents[2]
         target = Path(tempfile.mkdtemp(prefix="strandline-ship-")) / "strandline.zip"

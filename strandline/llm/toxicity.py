@@ -27,7 +27,7 @@ BITS = 20
 #: Bytes of the word beginnings that are features of their own.
 BEGINNINGS = (4, 5, 6)
 #: Labelled rows to learn from, at most.
-MAX_LABELLED = 20_000
+MAX_LABELLED = 10_000
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 4.0, 0.1
 EPOCHS = 8
 #: A text is predicted toxic from this score on.
@@ -82,7 +82,13 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = [(np.frombuffer(x, dtype=np.int32), y) for b in batches for y, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+    rows = []
+    for b in batches:
+        # views of the batch: the sample is held once
+        coded = b.column(2)
+        ends = np.frombuffer(coded.buffers()[1], dtype=np.int32)[coded.offset : coded.offset + len(coded) + 1]
+        data = np.frombuffer(coded.buffers()[2], dtype=np.uint8) if coded.buffers()[2] is not None else np.zeros(0, dtype=np.uint8)
+        rows += [(data[i:j].view(np.int32), y) for i, j, y in zip(ends, ends[1:], b.column(1).to_pylist(), strict=False)]
     if rows:
         at, w = ftrl(rows)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w)], names=["at", "w"])
@@ -103,7 +109,8 @@ def train(
         .select(F.col(id_col).alias("l_id"), "y")
     )
     # the sample has at most max_labelled rows of two numbers
-    rows = docs.join(F.broadcast(sample), F.col(id_col) == F.col("l_id")).select(place.alias("place"), "y", F.col(text_col).alias("text"))
+    narrow = docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("text"))
+    rows = narrow.join(F.broadcast(sample), F.col("d_id") == F.col("l_id")).select(F.xxhash64("d_id").alias("place"), "y", "text")
     coded = rows.mapInArrow(_encode, "place long, y int, at binary")
     found = coded.repartition(1).sortWithinPartitions("place", "at").mapInArrow(_learn, "at int, w double").toPandas()
     if found.empty:
