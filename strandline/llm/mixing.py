@@ -32,7 +32,7 @@ def word_count(text: Column) -> Column:
 def quality_weight(text: Column) -> Column:
     """1 for plain prose down to 0.1 for texts full of marks: 4 times their share is taken off."""
     marks = F.length(text) - F.length(F.translate(text, "*%&$#|!{}<>=_~^\\", ""))
-    return F.coalesce(F.greatest(F.lit(0.1), F.lit(1.0) - 4.0 * marks / F.length(text)), F.lit(1.0))
+    return F.coalesce(F.greatest(F.lit(0.1), F.lit(1.0) - F.try_divide(4.0 * marks, F.length(text))), F.lit(1.0))
 
 
 def uniform(doc_id: Column, seed: str = SEED) -> Column:
@@ -128,17 +128,16 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     half of it is taken. The rows of a text and id are alike in how much is taken of them,
     except for equal rows, of which those that sort first are taken.
     """
-    i, h, s, k = fresh(df, "i", "h", "s", "k")
+    i, h, s, k, n, at, times = fresh(df, "i", "h", "s", "k", "n", "at", "times")
     counts = mix(df, id_col, text_col, source_col, seed=seed)
     whole = F.round(F.col("taken") / F.greatest(F.lit(1), F.col("size"))).cast("int")
-    counts = counts.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.col("source").alias(s), whole.alias("times")).filter("times > 0")
+    counts = counts.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h), F.col("source").alias(s), whole.alias(times)).filter(F.col(times) > 0)
     # equal rows share a count: the sum is dealt over them as evenly as it goes
-    shared = counts.groupBy(i, h, s).agg(F.sum("times").alias("t_times"))
-    n, at = fresh(df, "n", "at")
+    shared = counts.groupBy(i, h, s).agg(F.sum(times).alias(times))
     keyed = df.withColumn(k, F.xxhash64(F.col(text_col)))
     same = F.col(id_col).eqNullSafe(F.col(i)) & F.col(source_col).eqNullSafe(F.col(s)) & (F.col(k) == F.col(h))
     rows = keyed.join(shared, same)
     window = Window.partitionBy(id_col, source_col, k)
     rows = rows.withColumn(n, F.count(F.lit(1)).over(window)).withColumn(at, F.row_number().over(window.orderBy(F.lit(1))))
-    times = F.floor(F.col("t_times") / F.col(n)) + (F.col(at) <= F.col("t_times") % F.col(n)).cast("int")
-    return rows.withColumn(at, F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*[F.col(f"`{c}`") for c in df.columns])
+    own = F.floor(F.col(times) / F.col(n)) + (F.col(at) <= F.col(times) % F.col(n)).cast("int")
+    return rows.withColumn(at, F.explode(F.array_repeat(F.lit(1), own.cast("int")))).select(*[F.col(f"`{c}`") for c in df.columns])

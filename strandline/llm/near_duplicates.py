@@ -167,8 +167,16 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def linked_texts(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, with, links): parts of the links of distinct texts, and texts of the same component."""
+def _repeated(sig: DataFrame) -> DataFrame:
+    """(own_id, own_node) of rows that are there more than once."""
+    return sig.groupBy("own_id", F.col("node").alias("own_node")).count().filter("count > 1").drop("count")
+
+
+def linked_texts(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str, repeated: bool) -> DataFrame:
+    """(node, with, links): parts of the links of distinct texts, and texts of the same component.
+
+    ``repeated``: whether rows with the same id and text are there more than once.
+    """
     spark = docs.sparkSession
     exploded = texts.filter("keys IS NOT NULL").select("node", "bytes", F.posexplode("keys").alias("tree", "key"))
     buckets = (
@@ -192,6 +200,8 @@ def linked_texts(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str)
     wanted = wanted.join(texts, F.col("m_node") == F.col("node")).select("node", "rep", "keys", "at")
     own = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("own_node"))
     chosen = own.join(wanted, (F.col("own_node") == F.col("node")) & F.col("own_id").eqNullSafe(F.col("rep")))
+    if repeated:
+        chosen = chosen.dropDuplicates(["own_node"])
     rows = chosen.select("node", "keys", "text", F.explode("at").alias("b"))
     pair = F.explode(F.sequence(F.lit(0), F.col("b.blocks") - 1))
     rows = rows.select("node", "keys", "text", "b", pair.alias("other"))
@@ -210,7 +220,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
         F.min("own_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("bytes").alias("bytes"), F.first("keys").alias("keys")
     )
     texts = written(distinct, "texts")
-    found = written(linked_texts(docs, texts, id_col, text_col), "links")
+    found = written(linked_texts(docs, texts, id_col, text_col, not _repeated(sig).isEmpty()), "links")
     roots = components(found.select(F.col("node").alias("u"), F.col("with").alias("v")))
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     named = texts.select(F.col("node").alias("own_node"), "rep", "n_copies")
@@ -247,15 +257,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     sig, named = _classes(docs, id_col, text_col)
     rows = sig.select("own_id", "node").join(named.select("own_node", "root"), F.col("node") == F.col("own_node"))
     choice = F.min(F.struct(F.col("own_id").isNull().alias("none"), F.col("own_id"), F.col("node"))).alias("m")
-    kept = rows.groupBy("root").agg(choice).select(F.col("m.own_id").alias("k_id"), F.col("m.node").alias("k_node"))
+    h, n, k_id, k_node = fresh(docs, "h", "n", "k_id", "k_node")
+    kept = rows.groupBy("root").agg(choice).select(F.col("m.own_id").alias(k_id), F.col("m.node").alias(k_node))
     kept = written(kept, "kept")
-    same = (F.col("own_node") == F.col("k_node")) & F.col("own_id").eqNullSafe(F.col("k_id"))
-    (h,) = fresh(docs, "h")
+    same = (F.col("own_node") == F.col(k_node)) & F.col("own_id").eqNullSafe(F.col(k_id))
     hashed = docs.withColumn(h, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
-    out = hashed.join(kept, (F.col(h) == F.col("k_node")) & F.col(id_col).eqNullSafe(F.col("k_id")), "left_semi")
-    repeated = sig.groupBy(F.col("own_id"), F.col("node").alias("own_node")).count().filter("count > 1").join(kept, same, "left_semi")
-    if not repeated.isEmpty():
-        (n,) = fresh(hashed, "n")
+    out = hashed.join(kept, (F.col(h) == F.col(k_node)) & F.col(id_col).eqNullSafe(F.col(k_id)), "left_semi")
+    if not _repeated(sig).join(kept, same, "left_semi").isEmpty():
         one = Window.partitionBy(h, id_col).orderBy(F.lit(1))
         out = out.withColumn(n, F.row_number().over(one)).filter(F.col(n) == 1)
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import fresh, maybe_broadcast, written
+from ._shared import maybe_broadcast, written
 
 #: Labelled rows to fit the document model on, at most.
 MAX_LABELLED = 20_000
@@ -124,8 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
 
     # at most max_labelled rows are broadcast, and as many short lists come to the driver
     rows = (
-        docs.join(F.broadcast(sample), F.col(id_col) == F.col("l_id"))
-        .select(F.xxhash64("l_id").alias("place"), "y", F.arrow_udf(run, "array<double>")(F.col(text_col)).alias("x"))
+        docs.select(F.col(id_col).alias("d_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("d_id") == F.col("l_id"))
+        .select(F.xxhash64("l_id").alias("place"), "y", F.arrow_udf(run, "array<double>")(F.col("text")).alias("x"))
         .toPandas()
     )
     if rows.empty or rows["y"].nunique() < 2:
@@ -167,7 +167,7 @@ def posterior(
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in added]
     if model is None:
         return docs.select(*keep, F.lit(0.0).alias("evidence"), *[F.lit(1.0).alias(c) for c in added[1:]])
-    h, p, q = fresh(docs.select(*keep), "h", "p", "q")
+    h, p, q = "site h", "site p", "site q"
     rows = docs.select(*keep, host.alias(h), path.alias(p), evidence(F.col(text_col), model.weights).alias("evidence"))
     if materialise:
         rows = written(rows, "quality-evidence")
@@ -180,10 +180,12 @@ def posterior(
     hosts = hosts.withColumn("h_mean", (F.col("h_s") + k_host * mean) / (F.col("h_n") + k_host)).select(F.col(h).alias("own_h"), "h_s", "h_n", "h_mean")
     paths = paths.join(hosts, F.col(h).eqNullSafe(F.col("own_h"))).drop("own_h")
     k_path = _prior_rows(paths.select((F.col("s") / F.col("n")).alias("r"), "n", "h_mean"), F.col("h_mean"), F.col("r"))
-    sites = paths.select(F.col(h).alias("s_h"), F.col(p).alias("s_p"), "s", "n", "h_s", "h_n")
-    joined = rows.join(maybe_broadcast(sites, whole.paths, BROADCAST_PATHS), F.col(h).eqNullSafe(F.col("s_h")) & F.col(p).eqNullSafe(F.col("s_p")))
-    host_mean = (F.col("h_s") - F.col(q) + k_host * mean) / (F.col("h_n") - 1 + k_host)
-    path_mean = (F.col("s") - F.col(q) + k_path * F.col("host_mean")) / (F.col("n") - 1 + k_path)
+    site = F.struct("s", "n", "h_s", "h_n").alias("site sums")
+    sites = paths.select(F.col(h).alias("site s_h"), F.col(p).alias("site s_p"), site)
+    joined = rows.join(maybe_broadcast(sites, whole.paths, BROADCAST_PATHS), F.col(h).eqNullSafe(F.col("site s_h")) & F.col(p).eqNullSafe(F.col("site s_p")))
+    of = lambda c: F.col("site sums")[c]
+    host_mean = (of("h_s") - F.col(q) + k_host * mean) / (of("h_n") - 1 + k_host)
+    path_mean = (of("s") - F.col(q) + k_path * F.col("host_mean")) / (of("n") - 1 + k_path)
     prior = float(np.log(model.base / (1 - model.base)))
     odds = F.col("evidence") - prior + F.log(F.col("path_mean") / (1 - F.col("path_mean")))
     return (

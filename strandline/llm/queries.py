@@ -88,4 +88,29 @@ QUERIES: dict[str, Query] = {
     "op10_training_order": op10_training_order,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_exact_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+        scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20""",
+    "op9_mix_sources": r"""
+        WITH docs AS (
+            SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+                   -ln((('0x' || substr(md5('mix-1:' || CAST(doc_id AS VARCHAR)), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656::DOUBLE) /
+                   coalesce(greatest(0.1::DOUBLE, 1::DOUBLE - 4::DOUBLE * (length(text) - length(translate(text, '*%&$#|!{}<>=_~^\', ''))) / nullif(length(text), 0)), 1::DOUBLE) AS key
+            FROM documents),
+        per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),
+        numbered AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS pos FROM per),
+        weighed AS (SELECT *, pos % 3 + 1 AS weight, 3 * source_size AS most FROM numbered),
+        levels AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most::DOUBLE / weight, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+                   / (sum(weight) OVER (ORDER BY most::DOUBLE / weight, pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS own FROM weighed),
+        level AS (SELECT arg_min(own, (most::DOUBLE / weight, pos)) AS level FROM levels WHERE own * weight <= most),
+        targets AS (SELECT source, source_size, least(most::DOUBLE, coalesce(weight * level, 0)) AS target FROM levels, level),
+        placed AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs,
+                   coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+                   FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target,
+               CAST(epochs * size + greatest(0, least(size, round(target)::BIGINT - epochs * source_size - start)) AS BIGINT) AS taken FROM placed""",
+}
