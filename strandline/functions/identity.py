@@ -20,8 +20,16 @@ def _text(x: Column | str) -> Column:
     return F.lit(x) if isinstance(x, str) else x.cast("string")
 
 
+def joined(*parts: Column | str) -> Column:
+    """Parts with NUL between them; null if one is null."""
+    out = [_text(parts[0])]
+    for p in parts[1:]:
+        out += [F.lit(NUL), _text(p)]
+    return F.concat(*out)
+
+
 def kernel_id(kind: Column | str, seed: Column, discriminator: Column | str) -> Column:
-    return F.sha2(F.concat_ws(NUL, F.lit(KERNEL_DOMAIN), _text(kind), seed, _text(discriminator)), 256)
+    return F.sha2(joined(KERNEL_DOMAIN, kind, seed, discriminator), 256)
 
 
 def operation_id(seed: Column) -> Column:
@@ -71,8 +79,8 @@ def digest_id(domain: str, *parts: Column | str) -> Column:
 
 
 def scoped_seed(kind: Column | str, harness: Column | str, installation: Column | str, raw: Column) -> Column:
-    return F.concat_ws(NUL, F.lit(AGENT_SEED_DOMAIN), *[counted(x) for x in (kind, harness, installation, raw)])
+    return joined(AGENT_SEED_DOMAIN, *[counted(x) for x in (kind, harness, installation, raw)])
 
 
 def plugin_seed(namespace: Column | str, plugin: Column | str, seed: Column) -> Column:
-    return F.concat_ws(NUL, F.lit(PLUGIN_DOMAIN), *[counted(x) for x in (namespace, plugin, seed)])
+    return joined(PLUGIN_DOMAIN, *[counted(x) for x in (namespace, plugin, seed)])

@@ -90,13 +90,13 @@ def plan(log: Log, batch: Log, source_parents: DataFrame | None = None, require_
     for name, key in (("schemas", ["ns", "version"]), ("named_queries", ["ns", "version", "name"]), ("sessions", ["session_id"]), ("actors", ["actor_id"]), ("objects", ["object_id"]), ("replicas", ["replica_id"]), ("session_ends", ["session_id"])):
         if name in tables:
             tables[name] = tables[name].join(getattr(log, name).select(*key), key, "left_anti").select(*getattr(batch, name).columns)
-    events = renamed(batch.events).withColumn("name", F.col("event_id")).withColumn("event_id", _event_id(F.col("name")))
-    named = events.select("name", F.col("event_id").alias("new_event"), F.col("op_id").alias("e_op"), "ord")
-    tables["events"] = events.drop("name")
+    events = renamed(batch.events).withColumn("b_name", F.col("event_id")).withColumn("event_id", _event_id(F.col("b_name")))
+    named = events.select(F.col("b_name"), F.col("event_id").alias("new_event"), F.col("op_id").alias("e_op"), "ord")
+    tables["events"] = events.drop("b_name")
 
     def of_events(table: DataFrame) -> DataFrame:
         cols = table.columns
-        out = table.join(named.drop("ord"), F.col("event_id") == F.col("name")).withColumn("event_id", F.col("new_event"))
+        out = table.join(named.drop("ord"), F.col("event_id") == F.col("b_name")).withColumn("event_id", F.col("new_event"))
         return (out.withColumn("op_id", F.col("e_op")) if "op_id" in cols else out).select(*cols)
 
     for name in ("subjects", "relations", "requires"):
@@ -104,14 +104,14 @@ def plan(log: Log, batch: Log, source_parents: DataFrame | None = None, require_
     inherited = bound.filter("primary_event IS NOT NULL").select("new_op", F.col("primary_event").alias("parent_id"))
     heads = free.select(F.col("op_id").alias("new_op"), F.lit(0).alias("k")).join(event_heads(log).select(F.col("event_id").alias("parent_id"), F.lit(0).alias("k")), "k").select("new_op", "parent_id")
     inherited = inherited.unionByName(heads).join(named, F.col("new_op") == F.col("e_op")).select(F.col("new_event").alias("event_id"), "parent_id")
-    more = batch.event_parents.join(named, F.col("event_id") == F.col("name")).select(F.col("new_event").alias("event_id"), "parent_id")
+    more = batch.event_parents.join(named, F.col("event_id") == F.col("b_name")).select(F.col("new_event").alias("event_id"), "parent_id")
     tables["event_parents"] = inherited.unionByName(more).distinct()
     steps = spark.createDataFrame([], "kind string, subject string, strength int")
     if retain_event_requirements:
         order = Window.partitionBy("event_id").orderBy("resource", "strength")
         wanted = batch.requires.distinct().withColumn("at", F.row_number().over(order) - 1)
-        wanted = wanted.join(named, F.col("event_id") == F.col("name")).join(ids, F.col("e_op") == F.col("new_op"))
-        claim = identity.claim_id(F.col("seed"), F.regexp_extract("name", r"#(\d+)$", 1), F.col("at"))
+        wanted = wanted.join(named, F.col("event_id") == F.col("b_name")).join(ids, F.col("e_op") == F.col("new_op"))
+        claim = identity.claim_id(F.col("seed"), F.regexp_extract("b_name", r"#(\d+)$", 1), F.col("at"))
         last = 1_000_000
         tables["claims"] = wanted.select(
             F.col("e_op").alias("op_id"), (F.col("ord") + last + F.col("at")).cast("int").alias("ord"), claim.alias("claim_id"),
