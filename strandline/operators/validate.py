@@ -31,8 +31,9 @@ def type_matches(v: Column, kind: Column) -> Column:
         F.when(kind == "any", F.lit(True))
         .when(v["tag"] == "ref", F.lit(False))
         .when(kind.startswith("entity:"), (v["tag"] == "entity") & entity)
-        .when(kind.startswith("list<"), (v["tag"] == "list") & F.forall(items, fits))
-        .when(kind.startswith("map<"), (v["tag"] == "map") & F.forall(entries, fits))
+        # items without tags are strings
+        .when(kind.startswith("list<"), (v["tag"] == "list") & F.coalesce(F.forall(items, fits), inner.isin("string", "any")))
+        .when(kind.startswith("map<"), (v["tag"] == "map") & F.coalesce(F.forall(entries, fits), inner == "any"))
         .otherwise(v["tag"] == kind),
         F.lit(False),
     )
