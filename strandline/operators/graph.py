@@ -99,6 +99,10 @@ def distances(steps: DataFrame, roots: DataFrame, max_depth: int | None = None)
 
 
 def _reached(steps: DataFrame, roots: DataFrame, max_depth: int | None, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    if max_depth == 0:
+        return roots.select("entity").distinct().withColumn("depth", F.lit(0)), steps.limit(0).select(*columns)
+    # every level reads the steps, so what they are made from is computed once
+    steps = written(steps, "steps")
     found = distances(steps, roots, max_depth)
     departed = found if max_depth is None else found.filter(F.col("depth") < max_depth)
     edges = steps.join(departed.select(F.col("entity").alias("here")), "here", "left_semi").select(*columns).distinct()
