@@ -32,7 +32,7 @@ TREES, DEPTH = 24, 8
 #: Probability that a pair at the threshold becomes a candidate, at least.
 TARGET_RECALL = 0.9999
 #: Texts, and bytes of text, of a block of a large trie node.
-BLOCK_ROWS, BLOCK_BYTES = 512, 8 << 20
+BLOCK_ROWS, BLOCK_BYTES = 256, 8 << 20
 #: Shingles for which all hash functions are applied at a time.
 _CHUNK = 512
 
