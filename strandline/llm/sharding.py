@@ -31,6 +31,8 @@ _BITS = 8
 TOLERANCE = 0.001
 #: Rows for each partition of the exchange.
 ROWS_PER_PARTITION = 200_000
+#: Names of the two parts of the key while rows are placed.
+K1, K2 = "shard key", "shard row key"
 _LO, _HI = -(1 << 63), (1 << 63) - 1
 
 
@@ -51,10 +53,10 @@ class _Splitter:
         self.shift, self.lo, self.below, self.done = 64, _LO, 0, False
 
     def key(self) -> Column:
-        return F.col("k2") if self.level else F.col("k1")
+        return F.col(K2) if self.level else F.col(K1)
 
     def inside(self) -> Column:
-        out = F.col("k1") == F.lit(self.pin) if self.level else F.lit(True)
+        out = F.col(K1) == F.lit(self.pin) if self.level else F.lit(True)
         if self.shift < 64:
             out = out & (F.shiftright(self.key(), self.shift) == F.lit(self.lo >> self.shift))
         return out
@@ -89,12 +91,12 @@ class _Splitter:
         """True for the rows at or above the splitter."""
         at = self.key() >= F.lit(self.lo) if self.lo <= _HI else F.lit(False)
         if self.level:
-            return (F.col("k1") > F.lit(self.pin)) | ((F.col("k1") == F.lit(self.pin)) & at)
+            return (F.col(K1) > F.lit(self.pin)) | ((F.col(K1) == F.lit(self.pin)) & at)
         return at
 
 
 def splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE) -> tuple[list[_Splitter], int, int]:
-    """Splitters of a table (k1 long, k2 long, size long), the bytes and the rows of all of it.
+    """Splitters of a table (K1 long, K2 long, size long), the bytes and the rows of all of it.
 
     Every round is one pass with a partial aggregate of at most ``(shards - 1) * 2**_BITS``
     sums for each task, so what reaches the driver doesn't grow with the rows.
@@ -139,35 +141,35 @@ def histogram_shard(
     """
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("size", "text_crc32", "shard", "slot")]
     text = F.col(text_col)
-    k1, k2, part, pid, at, first = fresh(df, "k1", "k2", "part", "pid", "at", "first")
+    part, pid, at, first = fresh(df, "part", "pid", "at", "first")
     named = df.select(
         *keep,
         byte_size(text).alias("size"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        F.xxhash64(text).alias(k1),
-        F.xxhash64(F.monotonically_increasing_id()).alias(k2),
+        F.xxhash64(text).alias(K1),
+        F.xxhash64(F.monotonically_increasing_id()).alias(K2),
     )
     # k2 depends on the place of the row, so it is fixed by writing it once
     rows = written(named, "shard-keys")
-    found, _, n = splitters(rows.select(F.col(k1).alias("k1"), F.col(k2).alias("k2"), "size"), shards, tolerance)
+    found, _, n = splitters(rows.select(K1, K2, "size"), shards, tolerance)
     salts = max(1, math.ceil(n / shards / rows_per_partition))
     shard = F.lit(0)
     for s in found:
         shard = shard + s.passed().cast("int")
-    sharded = rows.select(*keep, "size", "text_crc32", F.col(k1).alias("k1"), F.col(k2).alias("k2")).withColumn("shard", shard.cast("int"))
+    sharded = rows.select(*keep, "size", "text_crc32", K1, K2).withColumn("shard", shard.cast("int"))
     # the one exchange: each shard owns ``salts`` partitions, and k2 deals its rows over them
-    moved = sharded.withColumn(part, (F.col("shard") * salts + F.pmod("k2", F.lit(salts))).cast("int"))
-    moved = moved.repartitionById(shards * salts, F.col(part)).drop("k1", "k2")
+    moved = sharded.withColumn(part, (F.col("shard") * salts + F.pmod(F.col(K2), F.lit(salts))).cast("int"))
+    moved = moved.repartitionById(shards * salts, F.col(part)).drop(K1, K2)
     placed = written(
         moved.withColumn(pid, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))),
         "shard-rows",
     )
     drop_written(rows)
-    per = placed.groupBy("shard", pid).agg(F.count(F.lit(1)).alias("n"))
+    per = placed.groupBy("shard", F.col(pid).alias("pid")).agg(F.count(F.lit(1)).alias("n"))
     # one row for each partition of the exchange: its number is known, so the broadcast is bounded
     offsets = per.selectExpr(
-        f"shard AS s_{first}", f"{pid} AS p_{first}",
-        f"coalesce(sum(n) OVER (PARTITION BY shard ORDER BY {pid} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS {first}",
+        f"shard AS s_{first}", f"pid AS p_{first}",
+        f"coalesce(sum(n) OVER (PARTITION BY shard ORDER BY pid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS {first}",
     )
     offsets = maybe_broadcast(offsets, shards * salts)
     return (
