@@ -5,11 +5,13 @@ smallest even-bit domain that holds all sequences, walked until it lands among t
 permutation of 0 .. n - 1: every sequence gets a global slot, with no sort and no table. Slots
 are laid out in shards of ``per_shard`` records of one stride, so record s of the training order
 lies in shard ``s // per_shard`` at byte ``s % per_shard * stride``: a run can resume anywhere,
-and reads are sequential. Rows move once, to the range of slots that their task writes.
+and reads are sequential. Rows move once, to the range of slots that their task writes. The
+shards are files of the shared folder, and the index is made from what is read back from them.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import shared_dir, written
 from ._text import mix
 from ._tokens import tokens
 
@@ -153,9 +155,10 @@ def shard_bytes(placed: DataFrame, layout: Layout) -> DataFrame:
     return placed.mapInArrow(run, "shard long, first_slot long, records int, payload binary")
 
 
-def shard_index(placed: DataFrame, layout: Layout, id_col: str = "doc_id") -> DataFrame:
+def shard_index(placed: DataFrame, layout: Layout, id_col: str = "doc_id", folder: str | None = None) -> DataFrame:
     """One row for each record, read back from the laid-out shard: the id, piece, n_tokens, slot,
-    shard, byte_offset and record_crc32 (of the whole record, fill included)."""
+    shard, byte_offset and record_crc32 (of the whole record, fill included). With ``folder``
+    each shard is written there first (see :func:`write_shards`) and read back from its file."""
     kind = placed.schema[0].dataType.simpleString()
     names = ["own_id", "piece", "n_tokens", "slot", "shard", "byte_offset", "record_crc32"]
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
@@ -165,6 +168,8 @@ def shard_index(placed: DataFrame, layout: Layout, id_col: str = "doc_id") -> Da
         from pyspark.sql.pandas.types import to_arrow_type
 
         for shard, body, rows in _assembled(batches, layout):
+            if folder is not None:
+                body = _read_back(_write_shard(folder, shard, body, layout), body)
             ids, piece, n = zip(*rows, strict=True)
             at = np.arange(len(rows), dtype=np.int64)
             crc = [zlib.crc32(body[i * layout.stride : (i + 1) * layout.stride]) for i in range(len(rows))]
@@ -174,6 +179,32 @@ def shard_index(placed: DataFrame, layout: Layout, id_col: str = "doc_id") -> Da
     return placed.mapInArrow(run, f"own_id {kind}, piece int, n_tokens int, slot long, shard long, byte_offset long, record_crc32 long").withColumnRenamed("own_id", id_col)
 
 
+def _write_shard(folder: str, shard: int, payload: bytes, layout: Layout) -> tuple:
+    """The file system and path of a shard's file, which is whole when this returns."""
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(folder)
+    store.create_dir(base, recursive=True)
+    path = f"{base}/shard-{shard:08d}.bin"
+    info = store.get_file_info(path)
+    if info.type != fs.FileType.File or info.size != layout.records(shard) * layout.stride:
+        # a name of its own, as another attempt of the task may be writing too
+        part = f"{path}.{uuid.uuid4().hex}.part"
+        with store.open_output_stream(part) as out:
+            out.write(payload)
+        store.move(part, path)
+    return store, path
+
+
+def _read_back(at: tuple, payload: bytes) -> bytes:
+    store, path = at
+    with store.open_input_stream(path) as file:
+        found = file.read()
+    if found != payload:
+        raise ValueError(f"{path} holds other records")
+    return found
+
+
 def write_shards(shards: DataFrame, layout: Layout, folder: str) -> DataFrame:
     """Write each shard as ``shard-<number>.bin`` to a folder (a URI) that all executors share.
 
@@ -182,24 +213,17 @@ def write_shards(shards: DataFrame, layout: Layout, folder: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, base = fs.FileSystem.from_uri(folder)
-        store.create_dir(base, recursive=True)
         for b in batches:
             for shard, payload in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
-                path = f"{base}/shard-{shard:08d}.bin"
-                info = store.get_file_info(path)
-                if info.type != fs.FileType.File or info.size != layout.records(shard) * layout.stride:
-                    with store.open_output_stream(f"{path}.part") as out:
-                        out.write(payload)
-                    store.move(f"{path}.part", path)
+                _, path = _write_shard(folder, shard, payload, layout)
                 yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "bytes": [len(payload)]})
 
     return shards.mapInArrow(run, "shard long, path string, bytes long")
 
 
-def materialise(docs: DataFrame, path: str, **how) -> DataFrame:
-    """The index of all records (see :func:`shard_index`) of the materialised ``docs``."""
+def materialise(docs: DataFrame, path: str, folder: str | None = None, **how) -> DataFrame:
+    """Write the shards of ``docs`` to ``folder`` (a URI; else a new one in the shared folder) and
+    return the index of all records (see :func:`shard_index`). All shards are written on return."""
     placed, layout = ordered(docs, path, **how)
-    return shard_index(placed, layout, how.get("id_col", "doc_id"))
+    folder = folder or f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
+    return written(shard_index(placed, layout, how.get("id_col", "doc_id"), folder), "index")

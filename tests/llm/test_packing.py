@@ -125,3 +125,19 @@ def test_shards_round_trip(spark, reference, tmp_path):
     materialise.write_shards(materialise.shard_bytes(placed, layout), layout, f"file://{tmp_path}/shards").collect()
     assert whole == b"".join((tmp_path / "shards" / f"shard-{s:08d}.bin").read_bytes() for s in range(layout.shards))
     assert materialise.materialise(df.limit(0), PATH).collect() == []
+
+
+def test_materialised_shards_are_written(spark, tmp_path):
+    rows = [(i, "tok " * (i % 40)) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    index = materialise.materialise(df, PATH, folder=f"file://{tmp_path}/shards", length=16, per_shard=20)
+    files = sorted(p.name for p in (tmp_path / "shards").iterdir())  # before anything reads the index
+    found = index.collect()
+    assert files == [f"shard-{s:08d}.bin" for s in range(-(-len(found) // 20))]
+    for r in found:
+        body = (tmp_path / "shards" / f"shard-{r.shard:08d}.bin").read_bytes()
+        assert zlib.crc32(body[r.byte_offset : r.byte_offset + 32]) == r.record_crc32
+    # a file of the right size with other bytes isn't passed off as the shard
+    (tmp_path / "shards" / files[0]).write_bytes(bytes(20 * 32))
+    with pytest.raises(Exception, match="other records"):
+        materialise.materialise(df, PATH, folder=f"file://{tmp_path}/shards", length=16, per_shard=20)
