@@ -105,13 +105,15 @@ def search(best: Best, own: np.ndarray, queries: np.ndarray, ids: np.ndarray, ve
         base = block.astype(kind) @ floors
         over = ((width - 1) * np.maximum(block, 0).sum(axis=1)).astype(kind)
         under = ((width - 1) * np.minimum(block, 0).sum(axis=1)).astype(kind)
-        # the query's own row may be among the vectors, hence k + 1
-        first = np.partition(base, -(best.k + 1), axis=1)[:, -(best.k + 1)] + under if len(ids) > best.k + 1 else np.full(len(block), -np.inf)
+        # rows of the query's own id take no part, however often it is repeated
+        mine = ids[None, :] == own[start : start + QUERY_BLOCK, None]
+        lower = np.where(mine, kind(-np.inf), base)
+        first = np.partition(lower, -best.k, axis=1)[:, -best.k] + under if len(ids) >= best.k else np.full(len(block), -np.inf)
         for j in range(len(block)):
             q = start + j
             least = max(best.least(q), float(first[j]))
             upper = base[j] + over[j]
-            at = np.flatnonzero((upper >= least) & (ids != own[q]))
+            at = np.flatnonzero((upper >= least) & ~mine[j])
             at = at[np.argsort(-upper[at], kind="stable")]
             one = block[j].astype(np.float64)
             for i in range(0, len(at), STEP):

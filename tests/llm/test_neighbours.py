@@ -147,6 +147,16 @@ def test_topk_is_exact(spark, limit):
     assert sorted(map(tuple, got.collect())) == brute(rows32, 20, [i for i, _ in rows if i is not None and i % 20 == 0])
 
 
+@pytest.mark.parametrize("copies", [20, 21, 24, 400])
+def test_copies_of_the_query_leave_its_neighbours(spark, copies):
+    rng = np.random.default_rng(6)
+    far = [(int(i), rng.normal(0, 0.1, 8).tolist()) for i in range(1, 477) if i % 20]
+    rows = [(0, [9.0] * 8)] * copies + far
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = topk.exact_topk(df, df.filter("vec_id % 20 = 0"), 20).collect()
+    assert len(got) == 20 and sorted(map(tuple, got)) == brute(rows, 20, [0])
+
+
 def test_topk_of_odd_tables(spark):
     schema = "vec_id long, embedding array<double>"
     none = spark.createDataFrame([], schema)
