@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..model import SCHEMAS, Log, canonical
 from ..shared import written
 
-#: Above this many operations, order is found by layers on the cluster, not on the driver.
+#: Above this many operations, the same order is found by layers on the cluster, not on the driver.
 DRIVER_OPERATIONS = 2_000_000
 
 
@@ -51,9 +51,12 @@ def first_in_first_out(ids: list[str], parents: list[tuple[str, str]]) -> list[s
 
 
 def layers(log: Log) -> DataFrame:
-    """(op_id, layer): 0 for roots, else one more than the highest layer of the parents.
+    """(op_id, layer, topo): 0 for roots, else one more than the highest layer of the parents, and
+    the place in the first-in-first-out order.
 
-    Found by peeling operations whose parents all have layers; every round is written.
+    Found by peeling operations whose parents all have layers; every round is written. An
+    operation is ready once its last parent is taken, which lies in the layer before. So the
+    order goes layer by layer, and within one by the place of the last parent, then by id.
     """
     left = written(log.operations.select("op_id").distinct(), "left")
     known = log.parents.select("op_id", "parent_id").distinct()
@@ -61,10 +64,17 @@ def layers(log: Log) -> DataFrame:
     if orphan:
         raise LogError("MissingParent", f"{orphan.op_id} has the unknown parent {orphan.parent_id}")
     done: list[DataFrame] = []
-    at = 0
+    at, total, last = 0, left.count(), None
     while n := left.count():
         waiting = known.join(left.withColumnRenamed("op_id", "parent_id"), "parent_id", "left_semi").select("op_id").distinct()
-        ready = written(left.join(waiting, "op_id", "left_anti").withColumn("layer", F.lit(at)), "layer")
+        ready = left.join(waiting, "op_id", "left_anti")
+        if last is None:
+            ready = ready.withColumn("after", F.lit(-1).cast("long"))
+        else:
+            after = known.join(last.select(F.col("op_id").alias("parent_id"), "topo"), "parent_id").groupBy("op_id").agg(F.max("topo").alias("after"))
+            ready = ready.join(after, "op_id")
+        ready = _placed(ready, ["after", "op_id"], total - n).select("op_id", F.lit(at).alias("layer"), "topo")
+        ready = last = written(ready, "layer")
         if ready.isEmpty():
             raise LogError("Cycle", f"{n} operations lie on cycles or follow them")
         done.append(ready)
@@ -72,21 +82,25 @@ def layers(log: Log) -> DataFrame:
             done = [written(reduce(DataFrame.unionByName, done), "layers")]
         left = written(left.join(ready, "op_id", "left_anti"), "left")
         at += 1
-    return reduce(DataFrame.unionByName, done) if done else log.spark.createDataFrame([], "op_id string, layer int")
+    return reduce(DataFrame.unionByName, done) if done else log.spark.createDataFrame([], "op_id string, layer int, topo long")
+
+
+def _placed(rows: DataFrame, by: list[str], base: int) -> DataFrame:
+    """``rows`` with ``topo``, their places from ``base`` on when sorted; no task sees all rows."""
+    mid = written(rows.orderBy(*by).withColumn("mid", F.monotonically_increasing_id()), "sorted")
+    task = F.shiftright("mid", 33)
+    # one row for each task of the sort
+    sizes = mid.groupBy(task.alias("task")).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("before"))
+    return mid.join(F.broadcast(before), task == F.col("task")).withColumn("topo", F.lit(base) + F.col("before") + F.col("mid").bitwiseAND(F.lit((1 << 33) - 1))).drop("mid", "task", "before")
 
 
 def topological_order(log: Log) -> DataFrame:
-    """(op_id, topo). The exact first-in-first-out order is sequential, so it is computed from
-    ids alone on the driver; logs of over DRIVER_OPERATIONS are ordered by layer and id, which is
-    topological too but can differ within layers."""
+    """(op_id, topo): the first-in-first-out order, from ids alone on the driver; for logs of over
+    DRIVER_OPERATIONS by layers on the cluster, which gives the same order."""
     n = log.operations.count()
     if n > DRIVER_OPERATIONS:
-        ranked = layers(log)
-        sizes = ranked.groupBy("layer").count()
-        before = Window.orderBy("layer").rowsBetween(Window.unboundedPreceding, -1)
-        base = sizes.select("layer", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-        inside = Window.partitionBy("layer").orderBy("op_id")
-        return ranked.join(base, "layer").select("op_id", (F.col("base") + F.row_number().over(inside) - 1).cast("long").alias("topo"))
+        return layers(log).select("op_id", "topo")
     ids = [r.op_id for r in log.operations.select("op_id").distinct().toLocalIterator()]
     parents = [(r.op_id, r.parent_id) for r in log.parents.select("op_id", "parent_id").toLocalIterator()]
     return log.spark.createDataFrame(list(zip(first_in_first_out(ids, parents), range(n), strict=True)), "op_id string, topo long")

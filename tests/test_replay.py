@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +35,18 @@ def test_views(spark):
     assert {r.op_id for r in replay.reachable(log, heads).collect()} == {"op-book", "op-root"}
 
 
+def test_order_of_large_logs_is_first_in_first_out(spark, monkeypatch):
+    rng = random.Random(6)
+    ids = [f"op-{i}" for i in rng.sample(range(1000), 60)]
+    parents = sorted({(ids[i], ids[rng.randrange(max(0, i - 25), i)]) for i in range(12, 60) for _ in range(rng.choice([1, 2, 3]))})
+    log = Log.of(spark, operations=[(i, None, {}) for i in ids], parents=parents)
+    monkeypatch.setattr(replay, "DRIVER_OPERATIONS", 0)
+    got = {r.op_id: r.topo for r in replay.topological_order(log).collect()}
+    assert sorted(got, key=got.get) == first_in_first_out(ids, parents) and sorted(got.values()) == list(range(60))
+    layer = {r.op_id: r.layer for r in replay.layers(log).collect()}
+    assert sorted(ids, key=got.get) != sorted(ids, key=lambda i: (layer[i], i))
+
+
 def test_merge(spark):
     log = kitchen(spark)
     merged = replay.merge(log, log)
