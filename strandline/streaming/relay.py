@@ -2,8 +2,8 @@
 
 Events are handled in arrival order (``seq``). What an event inherits comes from its scope: a
 scope's session, telemetry ids and so on hold for events whose parent it is. A batch resolves
-inheritance by following parents level by level over the events it has and the scope table that
-earlier batches left; nothing is bound to event time, so there is no watermark. A parent that
+inheritance at any depth by doubling pointers to ancestors over the events it has and the scope
+table that earlier batches left; nothing is bound to event time, so there is no watermark. A parent that
 arrives late isn't linked.
 
 ``stream`` runs this in micro-batches: each commits its rows and its scopes under its batch id,
@@ -35,7 +35,6 @@ class Config:
     project: str | None = None
     trace_url: str | None = None
     span_url: str | None = None
-    max_depth: int = 64
 
     def __post_init__(self) -> None:
         if self.mode not in ("link", "audit"):
@@ -99,33 +98,51 @@ def own_scopes(events: DataFrame, config: Config) -> DataFrame:
     )
 
 
+INHERITED = ("session", "telemetry_session", "instance", "trace", "span")
+
+
 def resolved_scopes(scopes: DataFrame, known: DataFrame, config: Config) -> DataFrame:
     """Session and telemetry of every scope (SCOPES columns): its own, else its parent's, else, for
-    an agent scope without a parent in a session, a session of its own."""
-    unseen = scopes.join(known, "uuid", "left_anti")
-    done, left, depth = known, written(unseen, "scopes"), 0
-    while depth < config.max_depth and not left.isEmpty():
-        # ready: a parent that is resolved, or that no scope of this batch stands for
-        waiting = left.select(F.col("uuid").alias("p"))
-        ready = left.join(waiting, F.col("parent_uuid") == F.col("p"), "left_anti") if depth + 1 < config.max_depth else left
-        up = done.select(F.col("uuid").alias("p"), *[F.col(c).alias(f"p_{c}") for c in ("session", "telemetry_session", "instance", "trace", "span")])
-        joined = ready.join(up, F.col("parent_uuid") == F.col("p"), "left")
-        root = F.col("agent_scope") & F.col("p_session").isNull()
-        fallback = F.when(root, _seed(config, "session", F.concat(F.lit("relay-root:"), F.col("uuid"))))
-        rows = joined.select(
-            "uuid", F.coalesce("own_session", "p_session", fallback).alias("session"), F.coalesce("raw_session", "p_telemetry_session").alias("telemetry_session"),
-            F.coalesce("own_instance", "p_instance").alias("instance"), F.coalesce("own_trace", "p_trace", F.when(F.col("started"), t.trace_id(F.col("uuid")))).alias("trace"),
-            F.coalesce("own_span", F.when(F.col("started"), t.span_id(F.col("uuid"))), F.col("p_span")).alias("span"),
-            F.when(F.col("agent_scope"), F.lit("agent")).alias("category"), root.alias("root"),
+    an agent scope without a parent in a session, a session of its own.
+
+    What a scope has is first, then its ancestor's value, then last; this is so for a scope and its
+    parent taken together, too, so each round doubles how far up a scope looks.
+    """
+    none = F.lit(None).cast("string")
+    unseen = written(scopes.join(known, "uuid", "left_anti"), "scopes")
+    own = {
+        "session": F.col("own_session"), "telemetry_session": F.col("raw_session"), "instance": F.col("own_instance"), "trace": F.col("own_trace"),
+        "span": F.coalesce("own_span", F.when(F.col("started"), t.span_id(F.col("uuid")))),
+    }
+    fallback = {"session": F.when(F.col("agent_scope"), _seed(config, "session", F.concat(F.lit("relay-root:"), F.col("uuid")))), "trace": F.when(F.col("started"), t.trace_id(F.col("uuid")))}
+    firsts, lasts = [f"first_{c}" for c in INHERITED], [f"last_{c}" for c in fallback]
+    start = unseen.select("uuid", "parent_uuid", *[own[c].alias(f"first_{c}") for c in INHERITED], *[fallback[c].alias(f"last_{c}") for c in fallback])
+    there = unseen.select("uuid").unionByName(known.select("uuid")).select(F.col("uuid").alias("p")).distinct()
+    linked = start.join(there, F.col("parent_uuid") == F.col("p"), "left").withColumn("up", F.col("p")).drop("p", "parent_uuid")
+    linked = written(linked, "scope-links")
+    done = known.select("uuid", *[F.col(c).alias(f"first_{c}") for c in INHERITED], *[none.alias(c) for c in lasts], none.alias("up")).unionByName(linked.filter("up IS NULL"))
+    left = linked.filter("up IS NOT NULL")
+    n = left.count()
+    while n:
+        above = done.unionByName(left).select(F.col("uuid").alias("p"), F.col("up").alias("p_up"), *[F.col(c).alias(f"p_{c}") for c in firsts + lasts])
+        step = left.join(above, F.col("up") == F.col("p")).select(
+            "uuid", *[F.coalesce(c, f"p_{c}").alias(c) for c in firsts], *[F.coalesce(f"p_{c}", c).alias(c) for c in lasts], F.col("p_up").alias("up")
         )
-        rows = written(rows, "scope-level")
-        if rows.isEmpty():  # parents in a circle: they inherit nothing
-            left = written(left.withColumn("parent_uuid", F.lit(None).cast("string")), "scopes")
-            continue
-        done = done.unionByName(rows)
-        left = written(left.join(rows.select("uuid"), "uuid", "left_anti"), "scopes")
-        depth += 1
-    return done
+        step = written(step, "scope-links")
+        still = step.filter("up IS NOT NULL")
+        before, n = n, still.count()
+        if n == before:  # parents in a circle: they inherit nothing
+            alone = start.join(still.select("uuid"), "uuid", "left_semi").withColumn("up", none).drop("parent_uuid")
+            done, n = done.unionByName(alone), 0
+            circles = still.select("uuid", F.lit(True).alias("circle"))
+            unseen = unseen.join(circles, "uuid", "left").withColumn("parent_uuid", F.when(F.col("circle").isNull(), F.col("parent_uuid"))).drop("circle")
+        else:
+            done, left = done.unionByName(step.filter("up IS NULL")), still
+    values = written(done.select("uuid", *[F.coalesce(f"first_{c}", *([f"last_{c}"] if c in fallback else [])).alias(c) for c in INHERITED]), "scope-values")
+    up = values.select(F.col("uuid").alias("p"), F.col("session").alias("p_session"))
+    rows = unseen.select("uuid", "parent_uuid", "agent_scope").join(values, "uuid").join(up, F.col("parent_uuid") == F.col("p"), "left")
+    rows = rows.select("uuid", *INHERITED, F.when(F.col("agent_scope"), F.lit("agent")).alias("category"), (F.col("agent_scope") & F.col("p_session").isNull()).alias("root"))
+    return known.unionByName(rows)
 
 
 def resolved(events: DataFrame, config: Config, known_scopes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -234,6 +234,20 @@ def test_relay(spark):
     assert len(whole) == 7 and set(whole["001/end"].parents) == {whole["1/start"].source_key, whole["5/start"].source_key}
 
 
+def test_scopes_inherit_at_any_depth(spark):
+    """A chain of 150 scopes under a session, agent scopes among them, and two in a circle with one below."""
+    chain = [event(1, category="agent", session_id="s"), *[event(i, parent=i - 1, category="agent" if i % 7 == 0 else "tool") for i in range(2, 151)]]
+    circle = [event(201, parent=202, category="agent"), event(202, parent=201, category="tool"), event(203, parent=202, category="tool")]
+    lines = spark.createDataFrame(list(enumerate([*reversed(chain), *circle])), "seq long, value string")
+    config = relay.Config("h", "i")
+    _, scopes = relay.resolved(relay.deduplicated(spool.events_of(lines)), config)
+    by = {int(r.uuid[-12:]): r for r in scopes.collect()}
+    assert len(by) == 153 and by[150].telemetry_session == "s" and by[150].trace == by[1].trace
+    assert {by[i].session for i in range(1, 151)} == {one(spark, identity.scoped_seed("session", "h", "i", F.lit("s")))}
+    assert [i for i in range(1, 151) if by[i].root] == [1]
+    assert by[201].root and by[201].session is not None and by[202].session is None and by[203].session is None
+
+
 def test_stream_is_idempotent_and_remembers(spark, tmp_path):
     for sub in ("in", "out", "ck"):
         (tmp_path / sub).mkdir()
