@@ -1,9 +1,11 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
-
-Texts are sets of five-word shingles. A signature is cut into TREES labels; labels of a tree,
-sorted, form a prefix trie, and two texts are candidates if they share a trie node of the
-matched prefix length. That length starts at DEPTH and is shortened until a pair exactly at the
-threshold, the hardest to find, is found with the target recall in one tree or another.
+"""N-gram Jaccard join by banded MinHash with exact verification.
+
+Texts are sets of five-word shingles. A signature is cut into TREES bands of hashes, and two texts
+are candidates if all hashes of a band are the same. The length of a band is fixed before any
+text is read: the longest, up to DEPTH, with which a pair exactly at the threshold, the hardest to
+find, is found with the target recall in one band or another (5 of 8 with the constants here).
+This takes the place of an LSH forest: there are no sorted tries, and lengths don't follow the
+data. The names below call a band a tree and what shares it a trie node.
 
 Copies are folded first: everything after the first pass works on distinct texts. Trie nodes
 with the same members are looked at once. The texts of a node are brought together, large
