@@ -7,7 +7,7 @@ learning rate of its own, and the L1 term leaves most weights at exactly zero: w
 the executors is the short list of the others.
 
 Training is one pass after another over a bounded sample of labelled rows (``max_labelled``,
-those with the smallest hashes of their ids), in one task, in hash order: the model doesn't
+those of the documents at hand with the smallest hashes of their ids), in one task, in hash order: the model doesn't
 depend on partitioning. Scoring reads every whole text.
 """
 
@@ -27,7 +27,7 @@ BITS = 20
 #: Bytes of the word beginnings that are features of their own.
 BEGINNINGS = (4, 5, 6)
 #: Labelled rows to learn from, at most.
-MAX_LABELLED = 10_000
+MAX_LABELLED = 20_000
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 4.0, 0.1
 EPOCHS = 8
 #: A text is predicted toxic from this score on.
@@ -48,7 +48,7 @@ def coordinates(text: str | None) -> np.ndarray:
     return (np.concatenate([w, pairs, skips, *stems]) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
-def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
+def ftrl(rows: list[tuple[np.ndarray, int]] | _Sample, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
     """Non-zero coordinates and their weights, the bias last; rows: (distinct coordinates, 0 or 1)."""
     z, n = np.zeros(_BIAS + 1), np.zeros(_BIAS + 1)
     toxic = sum(y for _, y in rows)
@@ -75,9 +75,35 @@ def score_text(text: str | None, weights: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-np.clip(weights[at].sum() + weights[_BIAS], -35, 35))))
 
 
+def compact(at: np.ndarray) -> bytes:
+    """Sorted coordinates: how many there are of each upper part, then their lower 16 bits."""
+    uppers = np.bincount(at >> 16, minlength=1 << (BITS - 16)).astype("<u4")
+    return uppers.tobytes() + at.astype("<u2").tobytes()
+
+
+def expand(coded: np.ndarray) -> np.ndarray:
+    """The coordinates of bytes that :func:`compact` made."""
+    head = 4 << (BITS - 16)
+    uppers = np.repeat(np.arange(1 << (BITS - 16), dtype=np.int32) << 16, coded[:head].view("<u4"))
+    return uppers | coded[head:].view("<u2")
+
+
+class _Sample:
+    """Rows for :func:`ftrl` whose coordinates are expanded as they are read."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, int]]):
+        self.rows = rows
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, int]]:
+        return ((expand(coded), y) for coded, y in self.rows)
+
+
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = [np.unique(coordinates(t)).tobytes() for t in b.column(2).to_pylist()]
+        rows = [compact(np.unique(coordinates(t))) for t in b.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.binary())], names=["place", "y", "at"])
 
 
@@ -88,9 +114,9 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coded = b.column(2)
         ends = np.frombuffer(coded.buffers()[1], dtype=np.int32)[coded.offset : coded.offset + len(coded) + 1]
         data = np.frombuffer(coded.buffers()[2], dtype=np.uint8) if coded.buffers()[2] is not None else np.zeros(0, dtype=np.uint8)
-        rows += [(data[i:j].view(np.int32), y) for i, j, y in zip(ends, ends[1:], b.column(1).to_pylist(), strict=False)]
+        rows += [(data[i:j], y) for i, j, y in zip(ends, ends[1:], b.column(1).to_pylist(), strict=False)]
     if rows:
-        at, w = ftrl(rows)
+        at, w = ftrl(_Sample(rows))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(w)], names=["at", "w"])
 
 
@@ -102,9 +128,12 @@ def train(
     Null labels and null ids teach nothing; of several labels of one id the largest holds.
     """
     place = F.xxhash64(id_col)
+    # labels of documents that aren't there take no places of the sample
+    there = docs.select(F.col(id_col).alias("d_id"))
     sample = (
         labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
         .groupBy(id_col).agg(F.max(label).cast("int").alias("y"))
+        .join(there, F.col(id_col) == F.col("d_id"), "left_semi")
         .orderBy(place, id_col).limit(max_labelled)
         .select(F.col(id_col).alias("l_id"), "y")
     )

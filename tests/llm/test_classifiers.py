@@ -164,3 +164,16 @@ def test_toxicity_without_labels(tables):
     out = toxicity.drop_toxic(docs, labels)
     assert out.columns == docs.columns and 0 < out.count() < len(rows)
     assert toxicity.toxicity(docs.limit(0), labels).collect() == []
+
+
+def test_toxicity_learns_from_labelled_documents_that_are_there(tables):
+    docs, labels, *_ = tables
+    some, theirs = docs.filter("doc_id % 3 = 0"), labels.filter("doc_id % 3 = 0")
+    assert np.array_equal(toxicity.train(some, labels, max_labelled=60), toxicity.train(some, theirs, max_labelled=60))
+    assert toxicity.MAX_LABELLED == 20_000
+
+
+def test_compact_coordinates_are_whole():
+    for at in ([], [0], [65535, 65536, (1 << toxicity.BITS) - 1], range(3, 1 << toxicity.BITS, 777)):
+        coded = toxicity.compact(np.array(at, dtype=np.int32))
+        assert toxicity.expand(np.frombuffer(coded, np.uint8)).tolist() == list(at) and len(coded) == 64 + 2 * len(at)
