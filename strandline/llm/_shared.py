@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,24 +20,42 @@ BROADCAST_ROWS = 20_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only a session without that setting, as in tests, gets a folder of its own.
+    Only a local session without that setting, as in tests, gets a folder of its own; on a cluster
+    each executor would write to its own disk, so there it is an error.
     """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="strandline-"))
         folder = sc.getCheckpointDir()
     return f"{folder.rstrip('/')}/strandline-{sc.applicationId}"
 
 
+@contextmanager
+def _freeing_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries run here delete their shuffle files when they end, not when the driver next collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    if before is not None:  # a setting of Spark 4.1
+        spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is not None:
+            spark.conf.set(name, before)
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    This cuts the lineage and survives the loss of executors.
+    This cuts the lineage and survives the loss of executors. The shuffle files of ``df`` go.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    with _freeing_shuffles(spark):
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

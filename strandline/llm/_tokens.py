@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Pieces to remember in each worker; the table is emptied when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: The pattern of byte-level BPE, written for ``re``. It cuts as the original does for the
 #: characters that _PLAIN lets through.
 _CUT = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -33,7 +33,8 @@ def _byte_of() -> dict[str, int]:
 
 
 class Tokens:
-    """``encode(text)``: the ids as little-endian unsigned 32-bit numbers, in bytes."""
+    """``encode(text)``: the ids as little-endian unsigned 32-bit numbers, in bytes; ``size``: one
+    more than the highest id."""
 
     def __init__(self, path: str):
         import tiktoken
@@ -41,6 +42,7 @@ class Tokens:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {t["content"] for t in spec.get("added_tokens", [])}
+        self.size = 1 + max([*spec["model"]["vocab"].values(), *[t["id"] for t in spec.get("added_tokens", [])]])
         of = _byte_of()
         ranks = {bytes(of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self._bpe = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})

@@ -1,35 +1,44 @@
 """Training-order materialisation of token sequences in fixed-stride shards.
 
-Documents become sequences of at most ``length`` tokens. A keyed Feistel network over the
-smallest even-bit domain that holds all sequences, walked until it lands among them, is a
-permutation of 0 .. n - 1: every sequence gets a global slot, with no sort and no table. Slots
-are laid out in shards of ``per_shard`` records of one stride, so record s of the training order
-lies in shard ``s // per_shard`` at byte ``s % per_shard * stride``: a run can resume anywhere,
-and reads are sequential. Rows move once, to the range of slots that their task writes. The
-shards are files of the shared folder, and the index is made from what is read back from them.
+The ids of documents, each with an end id after it, follow each other and are cut into sequences
+of ``length`` ids, so only the last sequence of each task that reads the table needs filling. A
+keyed Feistel network over the smallest even-bit domain that holds all sequences, walked until it
+lands among them, is a permutation of 0 .. n - 1: every sequence gets a global slot, with no sort
+and no table. Slots are laid out in shards of ``per_shard`` records of one stride, so record s of
+the training order lies in shard ``s // per_shard`` at byte ``s % per_shard * stride``: a run can
+resume anywhere, and reads are sequential. Rows move once, to the range of slots that their task
+writes, in up to WAVES ranges of shards one after another, so that a part of the ids at most lies
+in shuffle files. The shards are files of the shared folder under a manifest, and the index is
+made from what is read back from them.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import shared_dir, written
+from ._shared import drop_written, maybe_broadcast, shared_dir, written
 from ._text import mix
 from ._tokens import tokens
 
 LENGTH = 1024
-PER_SHARD = 1024
+PER_SHARD = 4096
 KEY = 20_240_601
 ROUNDS = 6
-#: Fills the rest of a record; also ends a document.
+#: Ranges of shards that are exchanged one after another, at most.
+WAVES = 4
+#: Ends a document, and fills the rest of a record: the end id of the 50k vocabulary.
 END_ID = 50256
+#: Sequences of a batch that leaves a task.
+_BATCH = 2_000
 
 
 def permute(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
@@ -49,88 +58,115 @@ def permute(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """Sequences of all documents: own_id, piece, n_tokens, ids (16-bit, little-endian), task, nth."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens(path)
-        nth = 0
-        for b in batches:
-            task = b.column(2)[0].as_py() if len(b) else 0
-            out: list[tuple] = []
-
-            def batch(rows: list[tuple], b: pa.RecordBatch = b) -> pa.RecordBatch:
-                at, *cols = zip(*rows, strict=True)
-                kinds = (pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64())
-                return pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(at)), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]],
-                    names=["own_id", "piece", "n_tokens", "ids", "task", "nth"],
-                )
-
-            for i, text in enumerate(b.column(1).to_pylist()):
-                wide = np.frombuffer(encoder.encode(text), dtype="<u4")
-                ids = np.append(wide, END_ID).astype("<u2")
-                for k in range(-(-len(ids) // length)):
-                    part = ids[k * length : (k + 1) * length]
-                    out.append((i, k, len(part), part.tobytes(), task, nth))
-                    nth += 1
-                if len(out) >= 4_000:
-                    yield batch(out)
-                    out = []
-            if out:
-                yield batch(out)
-
-    rows = docs.select(F.col(id_col), F.col(text_col), F.spark_partition_id().alias("own task"))
-    kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(run, f"own_id {kind}, piece int, n_tokens int, ids binary, task int, nth long")
-
-
 class Layout:
-    """Where slots lie. n: sequences; stride: bytes of a record."""
+    """How records lie. n: sequences; stride: bytes of a record; kind: NumPy type of an id."""
 
-    def __init__(self, n: int, length: int = LENGTH, per_shard: int = PER_SHARD):
-        self.n, self.per_shard, self.stride = n, per_shard, 2 * length
+    def __init__(self, n: int, length: int = LENGTH, per_shard: int = PER_SHARD, kind: str = "<u2", key: int = KEY, digest: str = ""):
+        self.n, self.length, self.per_shard, self.kind, self.key, self.digest = n, length, per_shard, kind, key, digest
+        self.stride = np.dtype(kind).itemsize * length
         self.shards = -(-n // per_shard)
 
     def records(self, shard: int) -> int:
         return min(self.per_shard, self.n - shard * self.per_shard)
 
+    def manifest(self) -> bytes:
+        """What has to agree for shards to be of the same order: all that fixes their bytes."""
+        return json.dumps({"sequences": self.n, "length": self.length, "per_shard": self.per_shard, "ids": self.kind, "key": self.key, "input": self.digest}, sort_keys=True).encode()
+
+
+def id_kind(path: str, end_id: int) -> str:
+    """Little-endian unsigned ids of 16 bits, or of 32 if the vocabulary or the end id needs them."""
+    return "<u2" if max(tokens(path).size, end_id + 1) <= 1 << 16 else "<u4"
+
 
-def ordered(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY) -> tuple[DataFrame, Layout]:
-    """Sequences with their slots, each task holding a range of whole shards in slot order.
+def sequences(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
+    """Sequences of all documents: ids (little-endian), task, nth, and parts: the pieces of documents
+    that follow each other in it (own_id, piece, start: the document's ids before it, n_tokens)."""
+    kind = id_kind(path, end_id)
+    rows = docs.select(F.col(id_col), F.col(text_col), F.spark_partition_id().alias("own task"))
+    own = rows.schema[0].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        part = pa.struct([("own_id", to_arrow_type(own)), ("piece", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int32())])
+        encoder, width = tokens(path), np.dtype(kind).itemsize
+        end = np.array([end_id], dtype=kind).tobytes()
+        full, task, nth = length * width, 0, 0
+        open_ids, open_parts, out = bytearray(), [], []
 
-    The number of a sequence is its place among the tasks that read the table, fixed by the
-    table that is written here; the same files read alike give the same order.
+        def batch() -> pa.RecordBatch:
+            nonlocal nth
+            ids, parts = zip(*out, strict=True)
+            first, nth = nth, nth + len(out)
+            out.clear()
+            columns = [pa.array(ids, pa.binary()), pa.array(np.full(nth - first, task, dtype=np.int32)), pa.array(np.arange(first, nth)), pa.array(parts, pa.list_(part))]
+            return pa.RecordBatch.from_arrays(columns, names=["ids", "task", "nth", "parts"])
 
-    Defined cases: null and empty texts are a sequence of the end id alone; repeated rows give
-    sequences of their own; ids may be null; other columns aren't looked at; an empty table
-    gives no shards.
+        for b in batches:
+            task = b.column(2)[0].as_py() if len(b) else task
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                data = np.frombuffer(encoder.encode(text), dtype="<u4").astype(kind).tobytes() + end
+                at = piece = 0
+                while at < len(data):
+                    taken = data[at : at + full - len(open_ids)]
+                    open_parts.append({"own_id": doc, "piece": piece, "start": at // width, "n_tokens": len(taken) // width})
+                    open_ids += taken
+                    at, piece = at + len(taken), piece + 1
+                    if len(open_ids) == full:
+                        out.append((bytes(open_ids), open_parts))
+                        open_ids, open_parts = bytearray(), []
+                        if len(out) == _BATCH:
+                            yield batch()
+        if open_ids:
+            out.append((bytes(open_ids), open_parts))
+        if out:
+            yield batch()
+
+    kinds = f"ids binary, task int, nth long, parts array<struct<own_id: {own.simpleString()}, piece: int, start: long, n_tokens: int>>"
+    return rows.mapInArrow(run, kinds)
+
+
+def placed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, end_id: int = END_ID) -> tuple[DataFrame, Layout]:
+    """(ids, parts, slot) of all sequences, a written table, and their layout.
+
+    The number of a sequence is its place among the tasks that read the table, fixed by the table
+    that is written here; the same files read alike give the same order.
     """
-    rows = written(sequences(docs, path, id_col, text_col, length), "sequences")
-    per = rows.groupBy("task").agg(F.count(F.lit(1)).alias("n"))
-    layout = Layout(rows.count(), length, per_shard)
+    rows = written(sequences(docs, path, id_col, text_col, length, end_id), "sequences")
+    digest = F.sum(F.xxhash64("task", "nth", "ids").cast("decimal(20,0)"))
+    per = written(rows.groupBy("task").agg(F.count(F.lit(1)).alias("n"), digest.alias("digest")), "sequence-counts")
+    whole = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("digest").cast("string").alias("digest"), F.count(F.lit(1)).alias("tasks")).first()
+    layout = Layout(whole.n, length, per_shard, id_kind(path, end_id), key, whole.digest or "")
     # one row for each task that read the table
     bases = per.select(F.col("task").alias("b_task"), (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("base"))
-    numbered = rows.join(F.broadcast(bases), F.col("task") == F.col("b_task")).withColumn("number", F.col("base") + F.col("nth"))
+    numbered = rows.join(maybe_broadcast(bases, whole.tasks), F.col("task") == F.col("b_task"))
     n = layout.n
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for x in batches:
             yield pa.array(permute(x.to_numpy(), n, key))
 
-    placed = numbered.select("own_id", "piece", "n_tokens", "ids", F.arrow_udf(run, "long")("number").alias("slot"))
-    fits = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = max(1, min(layout.shards, max(fits, -(-layout.shards // 64))))
-    each = max(1, -(-layout.shards // tasks)) * per_shard
-    return placed.repartitionById(tasks, F.floor(F.col("slot") / each).cast("int")).sortWithinPartitions("slot"), layout
+    return numbered.select("ids", "parts", F.arrow_udf(run, "long")(F.col("base") + F.col("nth")).alias("slot")), layout
+
+
+def in_order(rows: DataFrame, layout: Layout, first: int, last: int) -> DataFrame:
+    """The sequences of shards ``first`` to ``last - 1``, each task holding whole shards in slot order."""
+    shards = last - first
+    fits = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(1, min(shards, max(fits, -(-shards // 16))))
+    each = -(-shards // tasks) * layout.per_shard
+    low, high = first * layout.per_shard, last * layout.per_shard
+    mine = rows.filter((F.col("slot") >= low) & (F.col("slot") < high))
+    return mine.repartitionById(tasks, F.floor((F.col("slot") - low) / each).cast("int")).sortWithinPartitions("slot")
 
 
-def _assembled(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[tuple[int, bytes, list[tuple]]]:
-    """Shards of a task: number, bytes, and (id, piece, n_tokens) of each record."""
-    fill = np.full(layout.stride // 2, END_ID, dtype="<u2").tobytes()
+def _assembled(batches: Iterator[pa.RecordBatch], layout: Layout, end_id: int) -> Iterator[tuple[int, bytes, list[list]]]:
+    """Shards of a task: number, bytes, and the parts of each record."""
+    fill = np.full(layout.length, end_id, dtype=layout.kind).tobytes()
     body, rows, now = bytearray(), [], -1
     for b in batches:
-        for own, piece, n, ids, slot in zip(*[c.to_pylist() for c in b.columns], strict=True):
+        for ids, parts, slot in zip(*[c.to_pylist() for c in b.columns], strict=True):
             shard = slot // layout.per_shard
             if shard != now:
                 if rows:
@@ -139,65 +175,28 @@ def _assembled(batches: Iterator[pa.RecordBatch], layout: Layout) -> Iterator[tu
             if slot != shard * layout.per_shard + len(rows):
                 raise ValueError(f"slot {slot} doesn't follow in shard {shard}")
             body += ids + fill[len(ids) :]
-            rows.append((own, piece, n))
+            rows.append(parts)
     if rows:
         yield now, bytes(body), rows
 
 
-def shard_bytes(placed: DataFrame, layout: Layout) -> DataFrame:
-    """One row for each shard: shard, first_slot, records, payload (records times the stride)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, body, rows in _assembled(batches, layout):
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "first_slot": [shard * layout.per_shard], "records": [len(rows)], "payload": [body]},
-                schema=pa.schema([("shard", pa.int64()), ("first_slot", pa.int64()), ("records", pa.int32()), ("payload", pa.binary())]))
+def shard_name(shard: int) -> str:
+    return f"shard-{shard:08d}.bin"
 
-    return placed.mapInArrow(run, "shard long, first_slot long, records int, payload binary")
 
-
-def shard_index(placed: DataFrame, layout: Layout, id_col: str = "doc_id", folder: str | None = None) -> DataFrame:
-    """One row for each record, read back from the laid-out shard: the id, piece, n_tokens, slot,
-    shard, byte_offset and record_crc32 (of the whole record, fill included). With ``folder``
-    each shard is written there first (see :func:`write_shards`) and read back from its file."""
-    kind = placed.schema[0].dataType.simpleString()
-    names = ["own_id", "piece", "n_tokens", "slot", "shard", "byte_offset", "record_crc32"]
-    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-    own = placed.schema[0].dataType
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        for shard, body, rows in _assembled(batches, layout):
-            if folder is not None:
-                body = _read_back(_write_shard(folder, shard, body, layout), body)
-            ids, piece, n = zip(*rows, strict=True)
-            at = np.arange(len(rows), dtype=np.int64)
-            crc = [zlib.crc32(body[i * layout.stride : (i + 1) * layout.stride]) for i in range(len(rows))]
-            cols = [piece, n, at + shard * layout.per_shard, np.full(len(rows), shard), at * layout.stride, crc]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, to_arrow_type(own)), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=names)
-
-    return placed.mapInArrow(run, f"own_id {kind}, piece int, n_tokens int, slot long, shard long, byte_offset long, record_crc32 long").withColumnRenamed("own_id", id_col)
-
-
-def _write_shard(folder: str, shard: int, payload: bytes, layout: Layout) -> tuple:
-    """The file system and path of a shard's file, which is whole when this returns."""
+def _write_shard(folder: str, shard: int, payload: bytes) -> bytes:
+    """Write a shard's file unless it is there whole, and return what is read back from it."""
     from pyarrow import fs
 
     store, base = fs.FileSystem.from_uri(folder)
-    store.create_dir(base, recursive=True)
-    path = f"{base}/shard-{shard:08d}.bin"
+    path = f"{base}/{shard_name(shard)}"
     info = store.get_file_info(path)
-    if info.type != fs.FileType.File or info.size != layout.records(shard) * layout.stride:
+    if info.type != fs.FileType.File or info.size != len(payload):
         # a name of its own, as another attempt of the task may be writing too
         part = f"{path}.{uuid.uuid4().hex}.part"
         with store.open_output_stream(part) as out:
             out.write(payload)
         store.move(part, path)
-    return store, path
-
-
-def _read_back(at: tuple, payload: bytes) -> bytes:
-    store, path = at
     with store.open_input_stream(path) as file:
         found = file.read()
     if found != payload:
@@ -205,25 +204,73 @@ def _read_back(at: tuple, payload: bytes) -> bytes:
     return found
 
 
-def write_shards(shards: DataFrame, layout: Layout, folder: str) -> DataFrame:
-    """Write each shard as ``shard-<number>.bin`` to a folder (a URI) that all executors share.
+def claim_folder(folder: str, layout: Layout) -> None:
+    """Make ``folder`` that of the layout: an error if it holds shards of another key, input or
+    layout, or shards without a manifest, so that none of these is taken for a part of this order."""
+    from pyarrow import fs
 
-    A file appears under its name only when it is whole, and one of the right size is left as it
-    is, so that a run that broke off goes on where it was. Returns shard, path and bytes.
+    store, base = fs.FileSystem.from_uri(folder)
+    store.create_dir(base, recursive=True)
+    path = f"{base}/manifest.json"
+    if store.get_file_info(path).type == fs.FileType.File:
+        with store.open_input_stream(path) as file:
+            if file.read() != layout.manifest():
+                raise ValueError(f"{folder} holds the shards of another order")
+        return
+    if any(f.base_name.endswith(".bin") for f in store.get_file_info(fs.FileSelector(base))):
+        raise ValueError(f"{folder} holds shards without a manifest")
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    with store.open_output_stream(part) as out:
+        out.write(layout.manifest())
+    store.move(part, path)
+
+
+def write_shards(rows: DataFrame, layout: Layout, folder: str, id_col: str = "doc_id", end_id: int = END_ID) -> DataFrame:
+    """Write the shards of ``rows`` (see :func:`in_order`) to ``folder``, and return their index: the
+    id, piece, start, n_tokens, slot, shard, byte_offset (of the record), at (the piece's first id
+    in the record) and record_crc32 (of the whole record, as it is read back).
+
+    A file appears under its name only when it is whole, and one of the right size is kept if it
+    holds the same bytes, so that a run that broke off goes on where it was.
     """
+    own = rows.schema["parts"].dataType.elementType["own_id"].dataType
+    kinds = {"own_id": None, "piece": pa.int32(), "start": pa.int64(), "n_tokens": pa.int32(), "slot": pa.int64(), "shard": pa.int64(), "byte_offset": pa.int64(), "at": pa.int32(), "record_crc32": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for shard, payload in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
-                _, path = _write_shard(folder, shard, payload, layout)
-                yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "bytes": [len(payload)]})
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        mine = kinds | {"own_id": to_arrow_type(own)}
+        for shard, payload, records in _assembled(batches, layout, end_id):
+            body = memoryview(_write_shard(folder, shard, payload))
+            out = []
+            for i, parts in enumerate(records):
+                crc, at = zlib.crc32(body[i * layout.stride : (i + 1) * layout.stride]), 0
+                for p in parts:
+                    out.append((p["own_id"], p["piece"], p["start"], p["n_tokens"], shard * layout.per_shard + i, shard, i * layout.stride, at, crc))
+                    at += p["n_tokens"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), mine.values(), strict=True)], names=list(mine))
 
-    return shards.mapInArrow(run, "shard long, path string, bytes long")
+    ddl = f"own_id {own.simpleString()}, piece int, start long, n_tokens int, slot long, shard long, byte_offset long, at int, record_crc32 long"
+    return rows.mapInArrow(run, ddl).withColumnRenamed("own_id", id_col)
 
 
-def materialise(docs: DataFrame, path: str, folder: str | None = None, **how) -> DataFrame:
+def materialise(
+    docs: DataFrame, path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, end_id: int = END_ID, waves: int = WAVES
+) -> DataFrame:
     """Write the shards of ``docs`` to ``folder`` (a URI; else a new one in the shared folder) and
-    return the index of all records (see :func:`shard_index`). All shards are written on return."""
-    placed, layout = ordered(docs, path, **how)
+    return their index (see :func:`write_shards`), one row for each piece of a document in a
+    record. All shards are written on return.
+
+    Defined cases: null and empty texts are the end id alone; a text longer than a sequence goes on
+    in the next one; repeated rows are laid out each; ids may be null; other columns aren't looked
+    at, whatever their names; an empty table gives no shards; ids of vocabularies above 65,536
+    take 32 bits; a folder that holds another order is an error.
+    """
+    rows, layout = placed(docs.select(F.col(id_col), F.col(text_col)), path, id_col, text_col, length, per_shard, key, end_id)
     folder = folder or f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
-    return written(shard_index(placed, layout, how.get("id_col", "doc_id"), folder), "index")
+    claim_folder(folder, layout)
+    waves = max(1, min(waves, layout.shards))
+    edges = [layout.shards * w // waves for w in range(waves + 1)]
+    parts = [written(write_shards(in_order(rows, layout, a, b), layout, folder, id_col, end_id), "index") for a, b in zip(edges, edges[1:], strict=False)]
+    drop_written(rows)
+    return reduce(DataFrame.unionByName, parts)

@@ -97,47 +97,76 @@ def test_slots_are_a_permutation():
         assert n < 64 or slots.tolist() != materialise.permute(np.arange(n), n, key=5).tolist()
 
 
+def records_of(folder, index, stride):
+    """Slot to record, and the checks that every row of the index allows."""
+    out = {}
+    for r in index:
+        body = (folder / f"shard-{r.shard:08d}.bin").read_bytes()
+        out[r.slot] = body[r.byte_offset : r.byte_offset + stride]
+        assert len(out[r.slot]) == stride and zlib.crc32(out[r.slot]) == r.record_crc32
+    return out
+
+
 def test_shards_round_trip(spark, reference, tmp_path):
     rng = random.Random(5)
-    rows = [(i, "tok " * rng.choice([0, 1, 30])) for i in range(200)] + [(None, None), (3, "tok")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    placed, layout = materialise.ordered(df, PATH, length=16, per_shard=20)
-    index = materialise.shard_index(placed, layout).collect()
-    assert sorted(r.slot for r in index) == list(range(layout.n))
-    out = materialise.write_shards(materialise.shard_bytes(placed, layout), layout, f"file://{tmp_path}/shards").collect()
-    assert sum(r.bytes for r in out) == layout.n * layout.stride and len(out) == layout.shards
-    whole = b"".join((tmp_path / "shards" / f"shard-{s:08d}.bin").read_bytes() for s in range(layout.shards))
-    expected = Counter()
-    for i, text in rows:
-        ids = [*reference(text), materialise.END_ID]
-        for k in range(0, len(ids), 16):
-            expected[(i, k // 16, tuple(ids[k : k + 16]))] += 1
-    found = Counter()
+    rows = [(i, "tok " * rng.choice([0, 1, 30])) for i in range(200)] + [(None, None), (3, "tok"), (3, "tok"), (400, "word " * 20_000)]
+    df = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, slot int, ids int, parts int").repartition(4)
+    folder = tmp_path / "shards"
+    found = materialise.materialise(df, PATH, f"file://{folder}", length=16, per_shard=20)
+    # the files are there before anything reads the index
+    files = sorted(p.name for p in folder.glob("*.bin"))
+    index = found.collect()
+    records = records_of(folder, index, 32)
+    n = len(records)
+    assert sorted(records) == list(range(n)) and files == [f"shard-{s:08d}.bin" for s in range(-(-n // 20))]
+    assert all(r.shard == r.slot // 20 and r.byte_offset == r.slot % 20 * 32 for r in index)
+    parts = defaultdict(list)
+    used = Counter()
     for r in index:
-        record = whole[r.slot * layout.stride : (r.slot + 1) * layout.stride]
-        assert zlib.crc32(record) == r.record_crc32 and r.byte_offset == r.slot % 20 * layout.stride and r.shard == r.slot // 20
-        ids = np.frombuffer(record, "<u2").tolist()
-        assert ids[r.n_tokens :] == [materialise.END_ID] * (16 - r.n_tokens)
-        found[(r.doc_id, r.piece, tuple(ids[: r.n_tokens]))] += 1
-    assert found == expected
-    # a broken file is written again, whole ones stay
-    (tmp_path / "shards" / "shard-00000001.bin").write_bytes(b"half")
-    materialise.write_shards(materialise.shard_bytes(placed, layout), layout, f"file://{tmp_path}/shards").collect()
-    assert whole == b"".join((tmp_path / "shards" / f"shard-{s:08d}.bin").read_bytes() for s in range(layout.shards))
+        ids = np.frombuffer(records[r.slot], "<u2").tolist()
+        parts[r.doc_id].append((r.piece, r.start, ids[r["at"] : r["at"] + r.n_tokens]))
+        used[r.slot] += r.n_tokens
+    # every document is there whole, as often as it is in the table, and only a task's last record is filled up
+    for i in {i for i, _ in rows}:
+        want = Counter(tuple([*reference(t), materialise.END_ID]) for j, t in rows if j == i)
+        pieces = sorted(parts[i])
+        copies = sum(want.values())
+        assert sum(len(ids) for *_, ids in pieces) == sum(len(t) * c for t, c in want.items())
+        if copies == 1:
+            assert [p for p, *_ in pieces] == list(range(len(pieces))) and tuple(x for *_, ids in pieces for x in ids) in want
+            assert [s for _, s, _ in pieces] == [sum(len(ids) for *_, ids in pieces[:k]) for k in range(len(pieces))]
+    assert sum(c < 16 for c in used.values()) <= 4
     assert materialise.materialise(df.limit(0), PATH).collect() == []
 
 
-def test_materialised_shards_are_written(spark, tmp_path):
+def test_a_run_goes_on_where_it_broke_off(spark, tmp_path):
     rows = [(i, "tok " * (i % 40)) for i in range(100)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    index = materialise.materialise(df, PATH, folder=f"file://{tmp_path}/shards", length=16, per_shard=20)
-    files = sorted(p.name for p in (tmp_path / "shards").iterdir())  # before anything reads the index
-    found = index.collect()
-    assert files == [f"shard-{s:08d}.bin" for s in range(-(-len(found) // 20))]
-    for r in found:
-        body = (tmp_path / "shards" / f"shard-{r.shard:08d}.bin").read_bytes()
-        assert zlib.crc32(body[r.byte_offset : r.byte_offset + 32]) == r.record_crc32
+    folder = tmp_path / "shards"
+    how = {"folder": f"file://{folder}", "length": 16, "per_shard": 20}
+    # the same files read alike give the same order
+    df.write.parquet(f"{tmp_path}/in")
+    df = spark.read.parquet(f"{tmp_path}/in")
+    before = sorted(map(tuple, materialise.materialise(df, PATH, **how).collect()))
+    whole = {p.name: p.read_bytes() for p in folder.iterdir()}
+    (folder / "shard-00000001.bin").write_bytes(b"half")
+    (folder / "shard-00000002.bin").unlink()
+    kept = (folder / "shard-00000000.bin").stat().st_mtime_ns
+    assert sorted(map(tuple, materialise.materialise(df, PATH, **how).collect())) == before
+    assert whole == {p.name: p.read_bytes() for p in folder.iterdir()} and kept == (folder / "shard-00000000.bin").stat().st_mtime_ns
+    # shards of another key or input aren't taken for these
+    with pytest.raises(ValueError, match="another order"):
+        materialise.materialise(df, PATH, key=5, **how)
+    with pytest.raises(ValueError, match="another order"):
+        materialise.materialise(df.filter("doc_id < 50"), PATH, **how)
     # a file of the right size with other bytes isn't passed off as the shard
-    (tmp_path / "shards" / files[0]).write_bytes(bytes(20 * 32))
+    (folder / "shard-00000000.bin").write_bytes(bytes(20 * 32))
     with pytest.raises(Exception, match="other records"):
-        materialise.materialise(df, PATH, folder=f"file://{tmp_path}/shards", length=16, per_shard=20)
+        materialise.materialise(df, PATH, **how)
+    (folder / "manifest.json").unlink()
+    with pytest.raises(ValueError, match="without a manifest"):
+        materialise.materialise(df, PATH, **how)
+
+
+def test_wide_vocabularies_have_wide_ids():
+    assert materialise.id_kind(PATH, 50256) == "<u2" and materialise.id_kind(PATH, 65_535) == "<u2" and materialise.id_kind(PATH, 65_536) == "<u4"
