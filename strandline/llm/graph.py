@@ -7,24 +7,35 @@ from pyspark.sql import functions as F
 
 from ._shared import drop_written, written
 
+#: Least neighbours of at most so many nodes are broadcast.
+BROADCAST_NODES = 100_000
+
 
 def _checksum(edges: DataFrame) -> tuple[int, int]:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
     return row.n, row.x
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _matched(rows: DataFrame, least: DataFrame, edges: int) -> DataFrame:
+    """``rows`` (u, v) with the least neighbour of u. There are at most twice as many nodes as edges;
+    if these are many, the least neighbours are written, so that Spark can split a node that
+    has a large share of all edges."""
+    few = 2 * edges <= BROADCAST_NODES
+    return rows.join(F.broadcast(least) if few else written(least, "least"), F.col("u") == F.col("w"))
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Each larger neighbour of a node moves to the least node of the neighbourhood."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _matched(both.filter("v > u"), least, n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """A node and its smaller neighbours move to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
-    moved = down.join(least, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _matched(down, least, n).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
@@ -37,8 +48,9 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.filter("u <> v").select("u", "v").distinct(), "edges")
     before, state = None, _checksum(now)
     while state != before and state[0]:
-        following = written(_small_star(_large_star(now)), "edges")
+        following = written(_small_star(_large_star(now, state[0]), state[0]), "edges")
         drop_written(now)
         now, before, state = following, state, _checksum(following)
     roots = now.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
+    # the last edges stay until the caller has read them
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

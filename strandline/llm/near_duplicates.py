@@ -1,36 +1,44 @@
-"""N-gram Jaccard join by banded MinHash with exact verification.
+"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
-Texts are sets of five-word shingles. A signature is cut into TREES bands of hashes, and two texts
-are candidates if all hashes of a band are the same. The length of a band is fixed before any
-text is read: the longest, up to DEPTH, with which a pair exactly at the threshold, the hardest to
-find, is found with the target recall in one band or another (5 of 8 with the constants here).
-This takes the place of an LSH forest: there are no sorted tries, and lengths don't follow the
-data. The names below call a band a tree and what shares it a trie node.
+Texts are sets of five-word shingles. Each of TREES trees gives a text a label of DEPTH min-hashes,
+so a tree is the prefix trie of the labels in sorted order. Two texts are candidates if they
+share a trie node that is looked at. Which nodes these are follows the data: a text starts at its
+whole labels, and its prefixes are shortened one level at a time, in the tree where the next
+shorter one adds the fewest other texts for what it adds to the recall, until a partner just
+at the threshold, the hardest to find, is among the counted candidates with the target recall.
+Texts that share a crowded prefix with many others thus stay deep in that tree and look at
+shorter prefixes in others. A node that one text looks at counts for all texts below it.
 
 Copies are folded first: everything after the first pass works on distinct texts. Trie nodes
 with the same members are looked at once. The texts of a node are brought together, large
 nodes in pairs of blocks, and every candidate's Jaccard likeness is computed from the whole
-shingle sets. A pair counts in the first tree that it shares, so its link counts once. What
-leaves a block is one row for each text (its links, and the least text it hangs together with),
-never the pairs. Components of these are the classes of near duplicates.
+shingle sets; words and shingles stand there for themselves as 64-bit hashes. A pair counts in
+the first tree that it shares, so its link counts once. What leaves a block is one row for each
+text (its links, and the least text it hangs together with), never the pairs. Components of
+these are the classes of near duplicates.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import fresh, maybe_broadcast, written
+from ._shared import drop_written, fresh, maybe_broadcast, written
 from ._text import fold, mix, shingles, word_hashes
 from .graph import components
 
 THRESHOLD = 0.8
-TREES, DEPTH = 24, 8
+#: Trees, levels of a label, and the shortest prefix that may be looked at.
+TREES, DEPTH, SHORTEST = 24, 6, 4
+#: Bits that a label keeps of each min-hash: equal hashes stay equal, and few others meet.
+LEVEL_BITS = 10
 #: Probability that a pair at the threshold becomes a candidate, at least.
 TARGET_RECALL = 0.9999
 #: Texts, and bytes of text, of a block of a large trie node.
@@ -39,11 +47,35 @@ BLOCK_ROWS, BLOCK_BYTES = 256, 8 << 20
 _CHUNK = 512
 
 
-def matched_prefix(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, target: float = TARGET_RECALL) -> int:
-    """The longest prefix whose worst-case recall reaches the target (1 at least)."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
-        depth -= 1
-    return depth
+def missed(depth: int, threshold: float = THRESHOLD) -> float:
+    """Logarithm of the probability that two texts at the threshold differ within ``depth`` levels of a tree."""
+    return log(1 - threshold**depth)
+
+
+def matched_prefixes(sizes: list[tuple[int, ...]], absent: int, target: float = TARGET_RECALL) -> list[int]:
+    """How long a prefix a text looks at in each tree.
+
+    ``sizes``: for each tree in which others share its shortest prefix, the texts that share its
+    prefix of SHORTEST to DEPTH levels; ``absent``: the trees in which none does, where the
+    shortest prefix costs nothing.
+    """
+    depths = [DEPTH] * len(sizes)
+    open_log = absent * missed(SHORTEST) + len(sizes) * missed(DEPTH) - log(1 - target)
+
+    def step(tree: int) -> tuple[float, int]:
+        d = depths[tree]
+        more = sizes[tree][d - 1 - SHORTEST] - sizes[tree][d - SHORTEST]
+        return more / (missed(d) - missed(d - 1)), tree
+
+    following = [step(t) for t in range(len(sizes))]
+    heapq.heapify(following)
+    while open_log > 0 and following:
+        _, tree = heapq.heappop(following)
+        open_log -= missed(depths[tree]) - missed(depths[tree] - 1)
+        depths[tree] -= 1
+        if depths[tree] > SHORTEST:
+            heapq.heappush(following, step(tree))
+    return depths
 
 
 def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,18 +83,23 @@ def _seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(i * np.uint64(0x9E3779B97F4A7C15)), mix(i * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
 
-def tree_keys(shingle_set: np.ndarray, prefix: int, trees: int = TREES) -> np.ndarray:
-    """The trie node of the matched prefix in each tree, as hashes."""
-    flip, scale = _seeds(trees * prefix)
-    least = np.full(trees * prefix, np.uint64(0xFFFFFFFFFFFFFFFF))
+def labels(shingle_set: np.ndarray) -> np.ndarray:
+    """The label in each tree: LEVEL_BITS of each of its min-hashes, the first level highest."""
+    flip, scale = _seeds(TREES * DEPTH)
+    least = np.full(TREES * DEPTH, np.uint64(0xFFFFFFFFFFFFFFFF))
     for i in range(0, len(shingle_set), _CHUNK):
         part = shingle_set[i : i + _CHUNK]
         np.minimum(least, ((part[None, :] ^ flip[:, None]) * scale[:, None]).min(axis=1), out=least)
-    least = mix(least).reshape(trees, prefix)
-    key = np.arange(trees, dtype=np.uint64) + np.uint64(1)
-    for i in range(prefix):
-        key = mix(key * np.uint64(0xA0761D6478BD642F) + least[:, i])
-    return key.view(np.int64)
+    least = mix(least).reshape(TREES, DEPTH) >> np.uint64(64 - LEVEL_BITS)
+    out = np.zeros(TREES, dtype=np.uint64)
+    for i in range(DEPTH):
+        out = out << np.uint64(LEVEL_BITS) | least[:, i]
+    return out.view(np.int64)
+
+
+def prefix(depth: int, label: str = "label") -> Column:
+    """The first ``depth`` levels of a label."""
+    return F.shiftright(label, LEVEL_BITS * (DEPTH - depth))
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -70,25 +107,69 @@ def shingle_set(text: str | None) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """own_id, node (128-bit hash of the text), bytes and the keys of each row (none for no words)."""
-    prefix = matched_prefix()
+    """own_id, node (128-bit hash of the text), bytes and the labels of each row (none for no words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, found = [], [], []
             for text in b.column(1).to_pylist():
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 nodes.append(hashlib.md5(raw, usedforsecurity=False).digest())
                 sizes.append(len(raw))
                 own = shingle_set(text)
-                keys.append(tree_keys(own, prefix) if len(own) else None)
+                found.append(labels(own) if len(own) else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["own_id", "node", "bytes", "keys"],
+                [b.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
+                names=["own_id", "node", "bytes", "labels"],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"own_id {kind}, node binary, bytes long, keys array<bigint>")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"own_id {kind}, node binary, bytes long, labels array<bigint>")
+
+
+def looked_at(texts: DataFrame) -> DataFrame:
+    """(node, tree, at, depth, bytes): the trie node that each text of ``texts`` (node, bytes,
+    labels) is verified in, in every tree where it meets another there; ``at`` is its prefix of
+    ``depth`` levels.
+    """
+    every = texts.filter("labels IS NOT NULL").select("node", "bytes", F.posexplode("labels").alias("tree", "label"))
+    at = prefix(SHORTEST)
+    shared = every.groupBy(F.col("tree").alias("s_tree"), at.alias("s_at")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = written(shared, "trie-nodes")
+    met = every.join(maybe_broadcast(shared, shared.count()), (F.col("tree") == F.col("s_tree")) & (at == F.col("s_at")))
+    met = written(met.select("node", "bytes", "tree", "label", F.col("n").alias(f"n{SHORTEST}")), "trie-members")
+    sized = met
+    for depth in range(SHORTEST + 1, DEPTH + 1):
+        own = met.groupBy(F.col("tree").alias("d_tree"), prefix(depth).alias("d_at")).agg(F.count(F.lit(1)).alias(f"n{depth}"))
+        sized = sized.join(own.filter(f"n{depth} > 1"), (F.col("tree") == F.col("d_tree")) & (prefix(depth) == F.col("d_at")), "left").drop("d_tree", "d_at")
+    counts = [F.coalesce(f"n{d}", F.lit(1)).cast("long") for d in range(SHORTEST, DEPTH + 1)]
+    # at most TREES entries for each text
+    listed = sized.groupBy("node").agg(F.first("bytes").alias("bytes"), F.collect_list(F.struct("tree", "label", F.array(*counts).alias("sizes"))).alias("trees"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i, trees in enumerate(b.column(2).to_pylist()):
+                depths = matched_prefixes([t["sizes"] for t in trees], TREES - len(trees))
+                out += [(i, t["tree"], t["label"], d) for t, d in zip(trees, depths, strict=True)]
+            if out:
+                i, tree, label, depth = zip(*out, strict=True)
+                i = pa.array(i)
+                columns = [b.column(0).take(i), b.column(1).take(i), pa.array(tree, pa.int32()), pa.array(label, pa.int64()), pa.array(depth, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "bytes", "tree", "label", "depth"])
+
+    chosen = written(listed.mapInArrow(run, "node binary, bytes long, tree int, label long, depth int"), "trie-depths")
+    # the shortest prefix that any text below a node looks at holds for all of them
+    rows = chosen
+    for depth in range(DEPTH - 1, SHORTEST - 1, -1):
+        opened = chosen.filter(F.col("depth") == depth).select(F.col("tree").alias("o_tree"), prefix(depth).alias("o_at")).distinct()
+        rows = rows.join(opened.withColumn("opened", F.lit(depth)), (F.col("tree") == F.col("o_tree")) & (prefix(depth) == F.col("o_at")), "left")
+        rows = rows.withColumn("depth", F.least("depth", "opened")).drop("o_tree", "o_at", "opened")
+    cut = F.expr(f"shiftright(label, {LEVEL_BITS} * ({DEPTH} - depth))")
+    places = written(rows.select("node", "bytes", "tree", cut.alias("at"), "depth"), "trie-places")
+    for done in (shared, met, chosen):
+        drop_written(done)
+    return places
 
 
 def _counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -150,7 +231,9 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def done() -> pa.RecordBatch:
         texts = [r[4] for r in rows]
-        links, root = verify(texts, np.array([r[3] for r in rows]), np.array([r[1] for r in rows]), rows[0][0], now[1] != now[2])
+        # a tree in which a text is alone has a key of its own there: no other row has it
+        keys = [[-1 - i if k is None else k for k in r[3]] for i, r in enumerate(rows)]
+        links, root = verify(texts, np.array(keys), np.array([r[1] for r in rows]), rows[0][0], now[1] != now[2])
         nodes = [r[2] for r in rows]
         told = np.flatnonzero((links > 0) | (root != np.arange(len(rows))))
         return pa.RecordBatch.from_arrays(
@@ -175,31 +258,36 @@ def _repeated(sig: DataFrame) -> DataFrame:
 
 
 def linked_texts(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str, repeated: bool) -> DataFrame:
-    """(node, with, links): parts of the links of distinct texts, and texts of the same component.
+    """(node, with, links): parts of the links of distinct texts, and texts of the same component;
+    a written table.
 
     ``repeated``: whether rows with the same id and text are there more than once.
     """
     spark = docs.sparkSession
-    exploded = texts.filter("keys IS NOT NULL").select("node", "bytes", F.posexplode("keys").alias("tree", "key"))
+    found = looked_at(texts)
+    places = found.withColumn("key", F.xxhash64("tree", "depth", "at"))
     buckets = (
-        exploded.groupBy("key")
+        places.groupBy("key")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("size"), F.min("tree").alias("tree"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("members"))
         .filter("n > 1")
     )
     # trie nodes with the same members: the one of the first tree stands for all
     kept = buckets.groupBy("n", "size", "members").agg(F.min(F.struct("tree", "key")).alias("at"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("size") / BLOCK_BYTES)).cast("int")
-    kept = written(kept.select(F.col("at.key").alias("b_key"), "n", F.least(blocks, F.col("n")).cast("int").alias("blocks")), "trie-nodes")
+    kept = written(kept.select(F.col("at.key").alias("b_key"), "n", F.least(blocks, F.col("n")).cast("int").alias("blocks")), "trie-kept")
     side = F.pmod(F.xxhash64("node", F.lit("side")), F.col("blocks")).cast("int")
+    n_kept = kept.count()
     members = (
-        texts.filter("keys IS NOT NULL")
-        .select("node", F.posexplode("keys").alias("tree", "key"))
-        .join(maybe_broadcast(kept, kept.count()), F.col("key") == F.col("b_key"))
-        .select(F.col("node").alias("m_node"), F.struct("key", "tree", "blocks", side.alias("side")).alias("b"))
+        places.join(maybe_broadcast(kept, n_kept), F.col("key") == F.col("b_key"), "left")
+        .select(F.col("node").alias("m_node"), F.struct("tree", "key").alias("k"), F.when(F.col("blocks").isNotNull(), F.struct("key", "tree", "blocks", side.alias("side"))).alias("b"))
     )
-    # one row for each text that is in any kept node, with at most TREES entries
-    wanted = members.groupBy("m_node").agg(F.collect_list("b").alias("at"))
-    wanted = wanted.join(texts, F.col("m_node") == F.col("node")).select("node", "rep", "keys", "at")
+    # one row for each text that is in any kept node, with at most TREES entries; keys: its node in
+    # each tree, where it has one
+    wanted = members.groupBy("m_node").agg(F.collect_list("b").alias("at"), F.map_from_entries(F.collect_list("k")).alias("of")).filter(F.size("at") > 0)
+    wanted = wanted.withColumn("keys", F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.col("of")[t])).drop("of")
+    wanted = written(wanted.join(texts.select("node", "rep"), F.col("m_node") == F.col("node")).select("node", "rep", "keys", "at"), "trie-wanted")
+    for done in (found, kept):
+        drop_written(done)
     own = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text"), F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("own_node"))
     chosen = own.join(wanted, (F.col("own_node") == F.col("node")) & F.col("own_id").eqNullSafe(F.col("rep")))
     if repeated:
@@ -212,24 +300,30 @@ def linked_texts(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str,
         F.col("b.tree").alias("tree"), F.col("b.side").alias("side"), "node", "keys", "text",
     )
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(_verified, "node binary, with binary, links long")
+    links = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(_verified, "node binary, with binary, links long")
+    links = written(links, "links")
+    drop_written(wanted)
+    return links
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Signatures of all rows, and for each distinct text: own_node, rep, n_copies, n_links, root."""
     sig = written(signatures(docs, id_col, text_col), "signatures")
     distinct = sig.groupBy("node").agg(
-        F.min("own_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("bytes").alias("bytes"), F.first("keys").alias("keys")
+        F.min("own_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("bytes").alias("bytes"), F.first("labels").alias("labels")
     )
     texts = written(distinct, "texts")
-    found = written(linked_texts(docs, texts, id_col, text_col, not _repeated(sig).isEmpty()), "links")
+    found = linked_texts(docs, texts, id_col, text_col, not _repeated(sig).isEmpty())
     roots = components(found.select(F.col("node").alias("u"), F.col("with").alias("v")))
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     named = texts.select(F.col("node").alias("own_node"), "rep", "n_copies")
     named = named.join(roots, F.col("own_node") == F.col("node"), "left").drop("node")
     named = named.join(links, F.col("own_node") == F.col("node"), "left").drop("node")
     named = named.withColumn("root", F.coalesce("root", "own_node")).withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
-    return sig, written(named, "classes")
+    named = written(named, "classes")
+    for done in (texts, found, roots):
+        drop_written(done)
+    return sig.select("own_id", "node"), named
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

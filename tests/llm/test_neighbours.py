@@ -87,24 +87,64 @@ def test_odd_tables(spark):
     assert len(nd.drop_near_duplicates(df).collect()) == 1
 
 
-def test_prefix_reaches_the_target():
-    for target in (0.9, 0.999, 0.99999):
-        d = nd.matched_prefix(target=target)
-        assert 1 - (1 - 0.8**d) ** nd.TREES >= target
-        assert d == nd.DEPTH or 1 - (1 - 0.8 ** (d + 1)) ** nd.TREES < target
-    assert nd.matched_prefix(target=1 - 1e-15) == 1
+@pytest.mark.parametrize("target", [0.9, 0.999, 0.9999])
+def test_prefixes_are_shortened_to_the_target(target):
+    rng = random.Random(3)
+    for _ in range(200):
+        sizes = []
+        for _ in range(rng.randrange(nd.TREES + 1)):
+            at = sorted(rng.choices([1, 2, 5, 80, 10_000], k=nd.DEPTH - nd.SHORTEST + 1), reverse=True)
+            sizes.append(tuple(at))
+        absent = nd.TREES - len(sizes)
+        depths = nd.matched_prefixes(sizes, absent, target)
+        logs = absent * nd.missed(nd.SHORTEST) + sum(map(nd.missed, depths))
+        assert logs <= np.log(1 - target) and all(nd.SHORTEST <= d <= nd.DEPTH for d in depths)
+        # undoing any one step falls short of the target, or was free
+        for n, d in zip(sizes, depths, strict=True):
+            if d < nd.DEPTH and n[d - nd.SHORTEST] > n[d + 1 - nd.SHORTEST] and absent < 18:
+                free = sum(nd.missed(x) - nd.missed(x + 1) for x in depths if x < nd.DEPTH)
+                assert logs - free > np.log(1 - target)
+
+
+def test_crowded_prefixes_stay_long():
+    sizes = [(50_000, 40_000, 3)] * 6 + [(3, 3, 3)] * 18
+    assert nd.matched_prefixes(sizes, 0) == [6] * 6 + [4] * 18 or sum(d == 6 for d in nd.matched_prefixes(sizes, 0)[:6]) >= 4
 
 
 def test_signatures_agree_as_often_as_sets_do():
     rng = np.random.default_rng(3)
     same = 0
+    first = lambda x: nd.labels(x) >> (nd.LEVEL_BITS * (nd.DEPTH - 1))
     for _ in range(60):
         common = rng.integers(0, 1 << 62, 160).astype(np.uint64)
         a, b = (np.sort(np.concatenate([common, rng.integers(0, 1 << 62, 20).astype(np.uint64)])) for _ in range(2))
-        same += (nd.tree_keys(a, 1) == nd.tree_keys(b, 1)).mean()
+        same += (first(a) == first(b)).mean()
     assert abs(same / 60 - 0.8) < 0.05
 
 
+def test_all_texts_below_a_node_look_at_the_same(spark):
+    """The places of two texts in a tree are the same node, or nodes of which none is above the other."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 60, nd.TREES)
+    rows = []
+    for i in range(80):
+        own = base.copy()
+        for t in range(nd.TREES):
+            if rng.random() < 0.6:
+                own[t] ^= int(rng.integers(1, 4)) << int(rng.choice([0, 10, 20, 30]))
+        rows.append((bytes([i]), 10, own.tolist()))
+    df = spark.createDataFrame(rows, "node binary, bytes long, labels array<bigint>")
+    full = {r[0]: r[2] for r in rows}
+    cut = lambda label, d: label >> (nd.LEVEL_BITS * (nd.DEPTH - d))
+    by = defaultdict(list)
+    for r in nd.looked_at(df).collect():
+        assert r["at"] == cut(full[bytes(r.node)][r.tree], r.depth)
+        by[r.tree].append((bytes(r.node), r.depth))
+    for tree, mine in by.items():
+        for n, d in mine:
+            assert all(e == d for m, e in mine if cut(full[m][tree], d) == cut(full[n][tree], d))
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, x) for x in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(50)] + [(7, 7)]
