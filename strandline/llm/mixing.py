@@ -6,12 +6,16 @@ replacement: a document with quality weight w draws the key -ln(u) / w, u being
 id, and documents are taken in key order until their prefix sum reaches the budget. The last
 one is taken in part, so that a source meets its target.
 
-A source is never sorted in one task: a document's rank bucket comes from its key alone, the
-buckets of a source are summed first, and only rows within a bucket are put in order.
+A source is never sorted in one task: a document's bucket comes from its key, the buckets of a
+source are summed first, and only rows within a bucket are put in order. The share of keys up to x
+is the mean of 1 - exp(-w * x) over a source's weights; taken over a histogram of the weights, it
+is a rising function of the key that makes the buckets even whatever the weights are.
 """
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,9 +39,9 @@ def quality_weight(text: Column) -> Column:
     return F.coalesce(F.greatest(F.lit(0.1), F.lit(1.0) - F.try_divide(4.0 * marks, F.length(text))), F.lit(1.0))
 
 
-def uniform(doc_id: Column, seed: str = SEED) -> Column:
-    """A number in (0, 1) from the MD5 of the id."""
-    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))), 1, 12)
+def uniform(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """A number in (0, 1) from the MD5 of the id, or of the text where the id is null."""
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.coalesce(F.md5(text), F.lit("")))))), 1, 12)
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
@@ -66,6 +70,21 @@ def source_targets(per: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: in
     )
 
 
+def weight_class(weight: Column) -> Column:
+    """Four classes of weights to each power of two."""
+    return F.floor(4 * F.log2(weight)).cast("int")
+
+
+def key_share(key: Column, classes: Column) -> Column:
+    """The expected share of keys up to ``key``; ``classes``: (class, rows) of a source's weights.
+
+    Within 0 and 1, and rising with the key, whatever the histogram is.
+    """
+    total = F.aggregate(classes, F.lit(0.0), lambda s, c: s + c["rows"])
+    middle = lambda c: F.pow(F.lit(2.0), (c["class"] + 0.5) / 4)
+    return F.aggregate(classes, F.lit(0.0), lambda s, c: s + c["rows"] * (1 - F.exp(-key * middle(c)))) / total
+
+
 def mix(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -83,25 +102,27 @@ def mix(
     ``text_hash`` and ``source``.
 
     Defined cases: a null text has no words, takes nothing and keeps its row; null sources are
-    one source, the last; null ids share one key; equal keys are ordered by text hash and size,
-    and rows equal in all of these are interchangeable; if no text has a word, targets are 0.
+    one source, the last; rows with null ids draw by their text; equal keys are ordered by id, text
+    hash and size, and rows equal in all of these are interchangeable; if no text has a word,
+    targets are 0; quality weights that are null or not above 0 count as the least double.
     """
     text = F.col(text_col)
     quality = quality_weight(text) if quality is None else quality
-    key = -F.log(uniform(F.col(id_col), seed)) / quality
-    rows = written(
-        df.select(
-            F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"),
-            key.alias("key"), F.xxhash64(text).alias("text_hash"),
-        ),
-        "mix-keys",
+    weight = F.greatest(F.coalesce(quality.cast("double"), F.lit(0.0)), F.lit(sys.float_info.min))
+    rows = df.select(
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"),
+        F.xxhash64(text).alias("text_hash"), uniform(F.col(id_col), text, seed).alias("u"), weight.alias("w"),
     )
-    per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
-    targets = source_targets(per, weights).withColumnRenamed("source", "t_source")
-    # exp(-key) lies in (0, 1] whatever the weights are
+    rows = rows.select("doc_id", "source", "size", "text_hash", (-F.log("u") / F.col("w")).alias("key"), weight_class(F.col("w")).alias("class"))
+    rows = written(rows, "mix-keys")
+    per = rows.groupBy("source", "class").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
+    # a source has as many entries as its weights have classes
+    per = per.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("rows").alias("source_rows"), F.array_sort(F.collect_list(F.struct("class", "rows"))).alias("classes"))
+    targets = source_targets(per, weights).join(per.select(F.col("source").alias("c_source"), "classes"), F.col("source").eqNullSafe(F.col("c_source"))).drop("c_source")
+    targets = targets.withColumnRenamed("source", "t_source")
     buckets = F.greatest(F.lit(1), F.ceil(F.col("source_rows") / rows_per_bucket)).cast("long")
-    bucket = F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), buckets - 1)
-    rows = rows.join(targets, F.col("source").eqNullSafe(F.col("t_source"))).withColumn("bucket", bucket.cast("long")).drop("t_source")
+    bucket = F.least(F.floor(key_share(F.col("key"), F.col("classes")) * buckets), buckets - 1)
+    rows = rows.join(targets, F.col("source").eqNullSafe(F.col("t_source"))).withColumn("bucket", bucket.cast("long")).drop("t_source", "classes")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rows = rows.withColumn("epochs", epochs)
     rows = rows.withColumn("budget", F.round(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size"))
@@ -127,6 +148,10 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Documents stay whole here: the one that is taken in part is repeated once more if more than
     half of it is taken. The rows of a text and id are alike in how much is taken of them,
     except for equal rows, of which those that sort first are taken.
+
+    Defined cases: null and empty texts have no words and are never taken; null sources are one
+    source, the last; null ids are equal to each other; repeated rows share what is taken of them;
+    columns of ``df`` may have any names; an empty table gives no rows.
     """
     i, h, s, k, n, at, times = fresh(df, "i", "h", "s", "k", "n", "at", "times")
     counts = mix(df, id_col, text_col, source_col, seed=seed)

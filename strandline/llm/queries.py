@@ -98,7 +98,7 @@ ORACLE_SQL: dict[str, str] = {
     "op9_mix_sources": r"""
         WITH docs AS (
             SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-                   -ln((('0x' || substr(md5('mix-1:' || CAST(doc_id AS VARCHAR)), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656::DOUBLE) /
+                   -ln((('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || coalesce(md5(text), ''))), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656::DOUBLE) /
                    coalesce(greatest(0.1::DOUBLE, 1::DOUBLE - 4::DOUBLE * (length(text) - length(translate(text, '*%&$#|!{}<>=_~^\', ''))) / nullif(length(text), 0)), 1::DOUBLE) AS key
             FROM documents),
         per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source),

@@ -4,7 +4,9 @@ from collections import Counter
 
 import pytest
 
-from strandline.llm.mixing import WORD, mix, mixed
+from pyspark.sql import functions as F
+
+from strandline.llm.mixing import WORD, key_share, mix, mixed, uniform, weight_class
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -76,6 +78,25 @@ def test_white_space_is_what_the_pattern_says(spark):
     assert r.size == len(re.findall(WORD, "a b c\td\x0be  \x85f"))
 
 
+@pytest.mark.parametrize("weight", [1.0, 0.5, 0.1, 1e-6, "mixed"])
+def test_buckets_are_even_whatever_the_weights_are(spark, weight):
+    """The share of keys that decides on a bucket is spread evenly over 0 to 1."""
+    n = 20_000
+    w = F.when(F.col("id") % 3 == 0, 0.1).otherwise(0.9) if weight == "mixed" else F.lit(weight)
+    rows = spark.range(n).select((-F.log(uniform(F.col("id"), F.lit("t"))) / w).alias("key"), weight_class(w).alias("class"))
+    classes = rows.groupBy("class").agg(F.count(F.lit(1)).alias("rows")).agg(F.collect_list(F.struct("class", "rows")).alias("classes"))
+    shares = rows.join(F.broadcast(classes)).select("key", F.floor(key_share(F.col("key"), F.col("classes")) * 100).alias("bucket"))
+    counts = {r.bucket: r["count"] for r in shares.groupBy("bucket").count().collect()}
+    assert set(counts) <= set(range(101)) and max(counts.values()) < 0.02 * n
+    assert shares.selectExpr("bucket", "lag(bucket) OVER (ORDER BY key) AS before").filter("before > bucket").isEmpty()
+
+
+def test_rows_without_ids_draw_by_their_text(spark):
+    rows = [(None, f"w{i} x", "a") for i in range(200)] + [(i, "w " * 10, "b") for i in range(5)]
+    got = run(spark, rows)
+    assert 0 < sum(r.taken == 0 for r in got if r.doc_id is None) < 200
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "a"), (2, "", None), (None, "x y", "a"), (3, "p q", "a"), (3, "p q", "a")]
     got = run(spark, rows)
