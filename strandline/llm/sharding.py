@@ -8,7 +8,8 @@ aggregate over all partitions, and keeps the one sub-interval that holds the tar
 the bytes below a boundary are within the tolerance. If a bracket has shrunk to one value of
 the text hash (a group of copies that is larger than the tolerance), probing goes on over
 the row hash, so such a group is cut as evenly as any other.
-Rows then move once, each to the partition of its shard and salt.
+Rows then move once, each to the partition of its shard and salt, and are sorted by key there, so
+that the same files read alike give the same slots.
 
 Equal texts are neighbours in the key order: a group of copies stays in one shard unless a
 splitter has to cut it to keep the law of equal bytes.
@@ -31,8 +32,8 @@ _BITS = 8
 TOLERANCE = 0.001
 #: Rows for each partition of the exchange.
 ROWS_PER_PARTITION = 200_000
-#: Names of the two parts of the key while rows are placed.
-K1, K2 = "shard key", "shard row key"
+#: Names of the two parts of the key in the table that splitters are found for.
+K1, K2 = "k1", "k2"
 _LO, _HI = -(1 << 63), (1 << 63) - 1
 
 
@@ -87,12 +88,10 @@ class _Splitter:
             return
         self.lo, self.done = self.lo + (1 << self.shift), True
 
-    def passed(self) -> Column:
+    def passed(self, k1: Column, k2: Column) -> Column:
         """True for the rows at or above the splitter."""
-        at = self.key() >= F.lit(self.lo) if self.lo <= _HI else F.lit(False)
-        if self.level:
-            return (F.col(K1) > F.lit(self.pin)) | ((F.col(K1) == F.lit(self.pin)) & at)
-        return at
+        at = (k2 if self.level else k1) >= F.lit(self.lo) if self.lo <= _HI else F.lit(False)
+        return (k1 > F.lit(self.pin)) | ((k1 == F.lit(self.pin)) & at) if self.level else at
 
 
 def splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE) -> tuple[list[_Splitter], int, int]:
@@ -139,27 +138,27 @@ def histogram_shard(
     and equal rows are told apart by a row number; nulls in other columns are carried as they
     are; an empty table gives an empty result; with fewer rows than shards some stay empty.
     """
-    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("size", "text_crc32", "shard", "slot")]
+    keep = [f"`{c}`" for c in (df.columns if keep is None else keep) if c.lower() not in ("size", "text_crc32", "shard", "slot")]
     text = F.col(text_col)
-    part, pid, at, first = fresh(df, "part", "pid", "at", "first")
+    k1, k2, part, pid, at, first, s_first, p_first = fresh(df, "shard key", "shard row key", "part", "pid", "at", "first", "s_first", "p_first")
     named = df.select(
         *keep,
         byte_size(text).alias("size"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
-        F.xxhash64(text).alias(K1),
-        F.xxhash64(F.monotonically_increasing_id()).alias(K2),
+        F.xxhash64(text).alias(k1),
+        F.xxhash64(F.monotonically_increasing_id()).alias(k2),
     )
     # k2 depends on the place of the row, so it is fixed by writing it once
     rows = written(named, "shard-keys")
-    found, _, n = splitters(rows.select(K1, K2, "size"), shards, tolerance)
+    found, _, n = splitters(rows.select(F.col(k1).alias(K1), F.col(k2).alias(K2), "size"), shards, tolerance)
     salts = max(1, math.ceil(n / shards / rows_per_partition))
     shard = F.lit(0)
     for s in found:
-        shard = shard + s.passed().cast("int")
-    sharded = rows.select(*keep, "size", "text_crc32", K1, K2).withColumn("shard", shard.cast("int"))
+        shard = shard + s.passed(F.col(k1), F.col(k2)).cast("int")
+    sharded = rows.select(*keep, "size", "text_crc32", k1, k2).withColumn("shard", shard.cast("int"))
     # the one exchange: each shard owns ``salts`` partitions, and k2 deals its rows over them
-    moved = sharded.withColumn(part, (F.col("shard") * salts + F.pmod(F.col(K2), F.lit(salts))).cast("int"))
-    moved = moved.repartitionById(shards * salts, F.col(part)).drop(K1, K2)
+    moved = sharded.withColumn(part, (F.col("shard") * salts + F.pmod(F.col(k2), F.lit(salts))).cast("int"))
+    moved = moved.repartitionById(shards * salts, F.col(part)).sortWithinPartitions(k1, k2).drop(k1, k2)
     placed = written(
         moved.withColumn(pid, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))),
         "shard-rows",
@@ -168,11 +167,11 @@ def histogram_shard(
     per = placed.groupBy("shard", F.col(pid).alias("pid")).agg(F.count(F.lit(1)).alias("n"))
     # one row for each partition of the exchange: its number is known, so the broadcast is bounded
     offsets = per.selectExpr(
-        f"shard AS s_{first}", f"pid AS p_{first}",
+        f"shard AS {s_first}", f"pid AS {p_first}",
         f"coalesce(sum(n) OVER (PARTITION BY shard ORDER BY pid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS {first}",
     )
     offsets = maybe_broadcast(offsets, shards * salts)
     return (
-        placed.join(offsets, (F.col("shard") == F.col(f"s_{first}")) & (F.col(pid) == F.col(f"p_{first}")))
+        placed.join(offsets, (F.col("shard") == F.col(s_first)) & (F.col(pid) == F.col(p_first)))
         .select(*keep, "size", "text_crc32", "shard", (F.col(first) + F.col(at)).cast("long").alias("slot"))
     )

@@ -61,6 +61,19 @@ def test_fewer_rows_than_shards(spark, n):
 
 
 def test_clashing_columns_are_replaced_or_carried(spark):
-    df = spark.createDataFrame([(1, "abc", 9, 9, 9, 9, 9)], "doc_id long, text string, shard int, SIZE int, k1 int, part int, at int")
+    names = ["shard", "SIZE", "k1", "k2", "part", "at", "shard key", "shard row key", "s_first", "p_first", "first", "a.b"]
+    df = spark.createDataFrame([(1, "abc", *range(12))], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
     (row,) = histogram_shard(df, 2).collect()
-    assert (row.k1, row.part, row["at"], row.size) == (9, 9, 9, 4)
+    assert [row[n] for n in names[2:]] == list(range(2, 12)) and row["size"] == 4
+
+
+def test_slots_follow_the_key_and_reruns_agree(spark, tmp_path):
+    rows = [(i, f"text {i % 90} " * 3) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/in")
+    first, second = (sorted(map(tuple, histogram_shard(spark.read.parquet(f"{tmp_path}/in"), 4).collect())) for _ in range(2))
+    assert first == second
+    by = {}
+    for _, text, _, _, shard, slot in sorted(first, key=lambda r: (r[4], r[5])):
+        by.setdefault(shard, []).append(text)
+    for texts in by.values():  # equal texts are neighbours
+        assert sum(a != b for a, b in zip(texts, texts[1:], strict=False)) == len(set(texts)) - 1
