@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import maybe_broadcast, written
+from ._shared import fresh, maybe_broadcast, written
 
 #: Labelled rows to fit the document model on, at most.
 MAX_LABELLED = 20_000
@@ -156,18 +156,18 @@ def posterior(
     """``docs`` (their columns ``keep``; None: all) with evidence, host_mean, path_mean, posterior.
 
     ``host`` and ``path`` are columns of ``docs``; null is a host or path of its own.
-    ``materialise`` writes the kept columns with the evidence once, instead of reading the texts
-    a second time; choose it where ``keep`` is narrow.
+    ``materialise`` writes the kept columns with the evidence once, instead of computing the
+    features of the texts a second time.
 
     Defined cases: null and empty texts are judged as texts of no words; without a model the
     evidence is 0 and every posterior is 1, so that nothing is rejected; columns of ``docs``
     with the names of added ones are replaced.
     """
     added = ("evidence", "host_mean", "path_mean", "posterior")
-    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in added]
+    keep = [f"`{c}`" for c in (docs.columns if keep is None else keep) if c.lower() not in added]
     if model is None:
         return docs.select(*keep, F.lit(0.0).alias("evidence"), *[F.lit(1.0).alias(c) for c in added[1:]])
-    h, p, q = "site h", "site p", "site q"
+    h, p, q, s_h, s_p, sums = fresh(docs, "site h", "site p", "site q", "site s_h", "site s_p", "site sums")
     rows = docs.select(*keep, host.alias(h), path.alias(p), evidence(F.col(text_col), model.weights).alias("evidence"))
     if materialise:
         rows = written(rows, "quality-evidence")
@@ -180,10 +180,10 @@ def posterior(
     hosts = hosts.withColumn("h_mean", (F.col("h_s") + k_host * mean) / (F.col("h_n") + k_host)).select(F.col(h).alias("own_h"), "h_s", "h_n", "h_mean")
     paths = paths.join(hosts, F.col(h).eqNullSafe(F.col("own_h"))).drop("own_h")
     k_path = _prior_rows(paths.select((F.col("s") / F.col("n")).alias("r"), "n", "h_mean"), F.col("h_mean"), F.col("r"))
-    site = F.struct("s", "n", "h_s", "h_n").alias("site sums")
-    sites = paths.select(F.col(h).alias("site s_h"), F.col(p).alias("site s_p"), site)
-    joined = rows.join(maybe_broadcast(sites, whole.paths, BROADCAST_PATHS), F.col(h).eqNullSafe(F.col("site s_h")) & F.col(p).eqNullSafe(F.col("site s_p")))
-    of = lambda c: F.col("site sums")[c]
+    site = F.struct("s", "n", "h_s", "h_n").alias(sums)
+    sites = paths.select(F.col(h).alias(s_h), F.col(p).alias(s_p), site)
+    joined = rows.join(maybe_broadcast(sites, whole.paths, BROADCAST_PATHS), F.col(h).eqNullSafe(F.col(s_h)) & F.col(p).eqNullSafe(F.col(s_p)))
+    of = lambda c: F.col(sums)[c]
     host_mean = (of("h_s") - F.col(q) + k_host * mean) / (of("h_n") - 1 + k_host)
     path_mean = (of("s") - F.col(q) + k_path * F.col("host_mean")) / (of("n") - 1 + k_path)
     prior = float(np.log(model.base / (1 - model.base)))
@@ -198,6 +198,11 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     """doc_id, evidence, host_mean, path_mean, posterior and keep (boolean) of every document.
 
     By default the host is the document's source, and its path the language within it.
+
+    Defined cases are those of :func:`fit` and :func:`posterior`: null and empty texts are texts of no
+    words, null hosts and paths are sites of their own, repeated rows count each, other columns are
+    not looked at, and without labels of both kinds every document is kept; an empty table gives
+    no rows.
     """
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
@@ -206,11 +211,16 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None) -> DataFrame:
-    """The documents that the classifier keeps, with their columns."""
+    """The documents that the classifier keeps, with their columns, whatever their names.
+
+    Defined cases: as of :func:`classify`. The documents are written once with their evidence, so that
+    the features of a text are computed once.
+    """
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     names = ("evidence", "host_mean", "path_mean", "posterior")
     clash = [c for c in docs.columns if c.lower() in names]
-    safe = docs.withColumnsRenamed({c: f"own column {c}" for c in clash})
-    scored = posterior(safe, fit(docs, labels), host, path).filter(F.col("posterior") >= KEEP_FROM)
-    return scored.drop(*names).withColumnsRenamed({f"own column {c}": c for c in clash}).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = dict(zip(clash, fresh(docs, *[f"own {c}" for c in clash]), strict=True))
+    safe = docs.withColumnsRenamed(own)
+    scored = posterior(safe, fit(docs, labels), host, path, materialise=True).filter(F.col("posterior") >= KEEP_FROM)
+    return scored.drop(*names).withColumnsRenamed({b: a for a, b in own.items()}).select(*[F.col(f"`{c}`") for c in docs.columns])

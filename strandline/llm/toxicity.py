@@ -170,7 +170,12 @@ def score(docs: DataFrame, weights: np.ndarray | None, text_col: str = "text", s
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score and predicted (1 from THRESHOLD on) of every row of ``docs``."""
+    """doc_id, held_out, score and predicted (1 from THRESHOLD on) of every row of ``docs``.
+
+    Defined cases: null and empty texts score the model's bias; null ids aren't held out; repeated rows
+    are scored each; without labelled rows to learn from all score 0; other columns aren't looked
+    at; an empty table gives no rows.
+    """
     weights = train(docs, labels, id_col=id_col, text_col=text_col)
     own, text = fresh(docs, "own_id", "own_text")
     narrow = docs.select(F.col(id_col).alias(own), F.col(text_col).alias(text))
@@ -180,6 +185,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with their columns."""
+    """The rows of ``docs`` that are not predicted toxic, with their columns, whatever their names.
+    Defined cases: as of :func:`toxicity`."""
     (own,) = fresh(docs, "score")
     return score(docs, train(docs, labels), "text", own).filter(F.col(own) < THRESHOLD).drop(own)
