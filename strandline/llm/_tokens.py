@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Pieces to remember in each worker; the table is emptied when it is full.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 #: The pattern of byte-level BPE, written for ``re``. It cuts as the original does for the
 #: characters that _PLAIN lets through.
 _CUT = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")

@@ -34,7 +34,7 @@ PER_SHARD = 4096
 KEY = 20_240_601
 ROUNDS = 6
 #: Ranges of shards that are exchanged one after another, at most.
-WAVES = 4
+WAVES = 2
 #: Ends a document, and fills the rest of a record: the end id of the 50k vocabulary.
 END_ID = 50256
 #: Sequences of a batch that leaves a task.
@@ -89,18 +89,21 @@ def sequences(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        part = pa.struct([("own_id", to_arrow_type(own)), ("piece", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int32())])
+        kinds = (to_arrow_type(own), pa.int32(), pa.int64(), pa.int32())
         encoder, width = tokens(path), np.dtype(kind).itemsize
         end = np.array([end_id], dtype=kind).tobytes()
         full, task, nth = length * width, 0, 0
-        open_ids, open_parts, out = bytearray(), [], []
+        open_ids, out, ends = bytearray(), [], [0]
+        parts: tuple[list, ...] = ([], [], [], [])
 
         def batch() -> pa.RecordBatch:
             nonlocal nth
-            ids, parts = zip(*out, strict=True)
             first, nth = nth, nth + len(out)
-            out.clear()
-            columns = [pa.array(ids, pa.binary()), pa.array(np.full(nth - first, task, dtype=np.int32)), pa.array(np.arange(first, nth)), pa.array(parts, pa.list_(part))]
+            flat = pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(parts, kinds, strict=True)], names=["own_id", "piece", "start", "n_tokens"])
+            columns = [pa.array(out, pa.binary()), pa.array(np.full(nth - first, task, dtype=np.int32)), pa.array(np.arange(first, nth)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
+            for x in (out, *parts):
+                x.clear()
+            ends[:] = [0]
             return pa.RecordBatch.from_arrays(columns, names=["ids", "task", "nth", "parts"])
 
         for b in batches:
@@ -110,16 +113,19 @@ def sequences(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 at = piece = 0
                 while at < len(data):
                     taken = data[at : at + full - len(open_ids)]
-                    open_parts.append({"own_id": doc, "piece": piece, "start": at // width, "n_tokens": len(taken) // width})
+                    for x, value in zip(parts, (doc, piece, at // width, len(taken) // width), strict=True):
+                        x.append(value)
                     open_ids += taken
                     at, piece = at + len(taken), piece + 1
                     if len(open_ids) == full:
-                        out.append((bytes(open_ids), open_parts))
-                        open_ids, open_parts = bytearray(), []
+                        out.append(bytes(open_ids))
+                        ends.append(len(parts[0]))
+                        open_ids = bytearray()
                         if len(out) == _BATCH:
                             yield batch()
         if open_ids:
-            out.append((bytes(open_ids), open_parts))
+            out.append(bytes(open_ids))
+            ends.append(len(parts[0]))
         if out:
             yield batch()
 
@@ -161,23 +167,29 @@ def in_order(rows: DataFrame, layout: Layout, first: int, last: int) -> DataFram
     return mine.repartitionById(tasks, F.floor((F.col("slot") - low) / each).cast("int")).sortWithinPartitions("slot")
 
 
-def _assembled(batches: Iterator[pa.RecordBatch], layout: Layout, end_id: int) -> Iterator[tuple[int, bytes, list[list]]]:
+def _assembled(batches: Iterator[pa.RecordBatch], layout: Layout, end_id: int) -> Iterator[tuple[int, bytes, pa.ListArray]]:
     """Shards of a task: number, bytes, and the parts of each record."""
     fill = np.full(layout.length, end_id, dtype=layout.kind).tobytes()
-    body, rows, now = bytearray(), [], -1
+    body, rows, n, now = bytearray(), [], 0, -1
     for b in batches:
-        for ids, parts, slot in zip(*[c.to_pylist() for c in b.columns], strict=True):
-            shard = slot // layout.per_shard
+        shards = b.column(2).to_numpy() // layout.per_shard
+        for part in np.split(np.arange(len(b)), np.flatnonzero(np.diff(shards)) + 1):
+            if not len(part):
+                continue
+            shard, mine = int(shards[part[0]]), b.slice(part[0], len(part))
             if shard != now:
                 if rows:
-                    yield now, bytes(body), rows
-                body, rows, now = bytearray(), [], shard
-            if slot != shard * layout.per_shard + len(rows):
-                raise ValueError(f"slot {slot} doesn't follow in shard {shard}")
-            body += ids + fill[len(ids) :]
-            rows.append(parts)
+                    yield now, bytes(body), pa.concat_arrays(rows)
+                body, rows, n, now = bytearray(), [], 0, shard
+            if not np.array_equal(mine.column(2).to_numpy(), shard * layout.per_shard + n + np.arange(len(part))):
+                raise ValueError(f"slots don't follow each other in shard {shard}")
+            for ids in mine.column(0).to_pylist():
+                body += ids
+                body += fill[len(ids) :]
+            rows.append(mine.column(1))
+            n += len(part)
     if rows:
-        yield now, bytes(body), rows
+        yield now, bytes(body), pa.concat_arrays(rows)
 
 
 def shard_name(shard: int) -> str:
@@ -240,15 +252,15 @@ def write_shards(rows: DataFrame, layout: Layout, folder: str, id_col: str = "do
         from pyspark.sql.pandas.types import to_arrow_type
 
         mine = kinds | {"own_id": to_arrow_type(own)}
-        for shard, payload, records in _assembled(batches, layout, end_id):
-            body = memoryview(_write_shard(folder, shard, payload))
-            out = []
-            for i, parts in enumerate(records):
-                crc, at = zlib.crc32(body[i * layout.stride : (i + 1) * layout.stride]), 0
-                for p in parts:
-                    out.append((p["own_id"], p["piece"], p["start"], p["n_tokens"], shard * layout.per_shard + i, shard, i * layout.stride, at, crc))
-                    at += p["n_tokens"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), mine.values(), strict=True)], names=list(mine))
+        for shard, payload, parts in _assembled(batches, layout, end_id):
+            body, n = memoryview(_write_shard(folder, shard, payload)), len(parts)
+            crc = np.array([zlib.crc32(body[i * layout.stride : (i + 1) * layout.stride]) for i in range(n)])
+            sizes, flat = parts.value_lengths().to_numpy(), parts.flatten()
+            record = np.repeat(np.arange(n), sizes)
+            tokens_before = np.cumsum(flat.field(3).to_numpy()) - flat.field(3).to_numpy()
+            at = tokens_before - tokens_before[np.cumsum(sizes) - sizes][record]
+            columns = [*flat.flatten(), shard * layout.per_shard + record, np.full(len(record), shard), record * layout.stride, at, crc[record]]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, mine.values(), strict=True)], names=list(mine))
 
     ddl = f"own_id {own.simpleString()}, piece int, start long, n_tokens int, slot long, shard long, byte_offset long, at int, record_crc32 long"
     return rows.mapInArrow(run, ddl).withColumnRenamed("own_id", id_col)
