@@ -1,19 +1,28 @@
-"""Deterministic identities."""
+"""Deterministic identities. The domains that keep kinds of identities apart are parameters: a log
+that has to agree with another engine's is made with that engine's :class:`Domains`."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NUL = "\0"
-# Domains of the identity schemes, and the seeds of the bundled sources.
-KERNEL_DOMAIN = "provenance/v1"
-AGENT_DOMAIN = "provenance-agent/identity/v1"
-AGENT_SEED_DOMAIN = "provenance-agent/v1"
-ACTOR_SEED_DOMAIN = "provenance-agent/actor/v1"
-LINK_DOMAIN = "provenance-agent/link/v1"
-SESSION_END_DOMAIN = "provenance-agent/session-end/v1"
-PLUGIN_DOMAIN = "provenance-plugin/v2"
+
+
+@dataclass(frozen=True)
+class Domains:
+    kernel: str = "strandline/id/v1"
+    agent: str = "strandline/agent-id/v1"
+    agent_seed: str = "strandline/agent-seed/v1"
+    actor_seed: str = "strandline/actor-seed/v1"
+    link: str = "strandline/link/v1"
+    session_end: str = "strandline/session-end/v1"
+    plugin: str = "strandline/plugin-seed/v1"
+
+
+DOMAINS = Domains()
 
 
 def _text(x: Column | str) -> Column:
@@ -28,8 +37,8 @@ def joined(*parts: Column | str) -> Column:
     return F.concat(*out)
 
 
-def kernel_id(kind: Column | str, seed: Column, discriminator: Column | str) -> Column:
-    return F.sha2(joined(KERNEL_DOMAIN, kind, seed, discriminator), 256)
+def kernel_id(kind: Column | str, seed: Column, discriminator: Column | str, domains: Domains = DOMAINS) -> Column:
+    return F.sha2(joined(domains.kernel, kind, seed, discriminator), 256)
 
 
 def operation_id(seed: Column) -> Column:
@@ -60,9 +69,9 @@ def replica_id(seed: Column) -> Column:
     return kernel_id("replica", seed, "replica")
 
 
-def agent_id(kind: Column | str, seed: Column, discriminator: Column | str) -> Column:
+def agent_id(kind: Column | str, seed: Column, discriminator: Column | str, domains: Domains = DOMAINS) -> Column:
     """SHA-256 of the domain and of three parts, each after its length in 8 big-endian bytes."""
-    parts = [F.encode(F.lit(AGENT_DOMAIN + NUL), "utf-8")]
+    parts = [F.encode(F.lit(domains.agent + NUL), "utf-8")]
     for p in (_text(kind), seed, _text(discriminator)):
         parts += [F.unhex(F.lpad(F.hex(F.octet_length(p)), 16, "0")), F.encode(p, "utf-8")]
     return F.sha2(F.concat(*parts), 256)
@@ -78,9 +87,9 @@ def digest_id(domain: str, *parts: Column | str) -> Column:
     return F.sha2(F.concat(F.lit(domain + NUL), *[F.concat(counted(p), F.lit(NUL)) for p in parts]), 256)
 
 
-def scoped_seed(kind: Column | str, harness: Column | str, installation: Column | str, raw: Column) -> Column:
-    return joined(AGENT_SEED_DOMAIN, *[counted(x) for x in (kind, harness, installation, raw)])
+def scoped_seed(kind: Column | str, harness: Column | str, installation: Column | str, raw: Column, domains: Domains = DOMAINS) -> Column:
+    return joined(domains.agent_seed, *[counted(x) for x in (kind, harness, installation, raw)])
 
 
-def plugin_seed(namespace: Column | str, plugin: Column | str, seed: Column) -> Column:
-    return joined(PLUGIN_DOMAIN, *[counted(x) for x in (namespace, plugin, seed)])
+def plugin_seed(namespace: Column | str, plugin: Column | str, seed: Column, domains: Domains = DOMAINS) -> Column:
+    return joined(domains.plugin, *[counted(x) for x in (namespace, plugin, seed)])

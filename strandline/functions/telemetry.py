@@ -5,22 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .identity import LINK_DOMAIN, SESSION_END_DOMAIN, digest_id
+from .identity import DOMAINS, Domains, digest_id
 
-# Names of metadata members, the first that is a string counts, and the members
-# that are searched after the top level.
+# Names of metadata members, the first that is a string counts.
 SESSION = ("session_id", "session-id", "session_key", "session-key")
 SESSION_INSTANCE = ("session_instance_id", "session-instance-id", "session_instance", "session-instance")
 HOOK_EVENT = ("hook_event_name", "hook-event-name")
 ACTOR = ("actor_id", "actor-id", "actor_key", "actor-key")
-TRACE = ("trace_id", "trace-id")
-SPAN = ("span_id", "span-id")
-PROVIDER = ("provider", "provider_name", "provider-name")
 TELEMETRY_TRACE = ("telemetry_trace_id", "telemetry-trace-id", "otel_trace_id", "otel-trace-id")
 TELEMETRY_SPAN = ("telemetry_span_id", "telemetry-span-id", "otel_span_id", "otel-span-id")
 TELEMETRY_PROVIDER = ("telemetry_provider", "telemetry-provider", "otel_provider", "otel-provider")
-CONTAINERS = ("agent", "session", "context", "telemetry", "provenance", "provenance_context")
-SOURCE_CONTAINERS = ("provenance", "provenance_context")
+#: Members that are searched after the top level, and those that tell the source; parameters of a
+#: capture, as each kind of events has its own.
+CONTAINERS = ("agent", "session", "context", "telemetry", "lineage", "lineage_context")
+SOURCE_CONTAINERS = ("lineage", "lineage_context")
 
 
 def string_at(variant: Column, *path: str) -> Column:
@@ -30,19 +28,19 @@ def string_at(variant: Column, *path: str) -> Column:
     return F.when(F.schema_of_variant(there) == "STRING", F.try_variant_get(variant, at, "string"))
 
 
-def metadata_string(variant: Column, keys: tuple[str, ...]) -> Column:
+def metadata_string(variant: Column, keys: tuple[str, ...], containers: tuple[str, ...] = CONTAINERS) -> Column:
     """The first of ``keys`` that is a string at the top level, else in a container."""
-    return F.coalesce(*[string_at(variant, k) for k in keys], *[string_at(variant, c, k) for c in CONTAINERS for k in keys])
+    return F.coalesce(*[string_at(variant, k) for k in keys], *[string_at(variant, c, k) for c in containers for k in keys])
 
 
-def source_of(variant: Column) -> Column:
+def source_of(variant: Column, containers: tuple[str, ...] = SOURCE_CONTAINERS) -> Column:
     """The source that an event explains: a struct ns, kind, id, outcome; null without all of them.
 
     The first container that is an object counts, and in it ``source``, else ``source_ref``.
     """
     is_object = lambda *path: F.schema_of_variant(F.try_variant_get(variant, "$" + "".join(f"['{p}']" for p in path), "variant")).startswith("OBJECT")
     out = F.lit(None).cast("struct<ns: string, kind: string, id: string, outcome: string>")
-    for container in reversed(SOURCE_CONTAINERS):
+    for container in reversed(containers):
         member = {}
         for name in ("namespace", "kind", "id"):
             first = F.try_variant_get(variant, f"$['{container}']['source']", "variant")
@@ -53,12 +51,12 @@ def source_of(variant: Column) -> Column:
     return out
 
 
-def link_id(ns: Column, kind: Column, id: Column) -> Column:
-    return digest_id(LINK_DOMAIN, ns, kind, id)
+def link_id(ns: Column, kind: Column, id: Column, domains: Domains = DOMAINS) -> Column:
+    return digest_id(domains.link, ns, kind, id)
 
 
-def session_end_id(session: Column) -> Column:
-    return digest_id(SESSION_END_DOMAIN, session)
+def session_end_id(session: Column, domains: Domains = DOMAINS) -> Column:
+    return digest_id(domains.session_end, session)
 
 
 def trace_id(uuid: Column) -> Column:

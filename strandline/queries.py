@@ -409,13 +409,13 @@ def q_validate_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- identities and texts ---------------------------------------------------------------------
 
 
-@query("""SELECT event_id, sha256('provenance/v1' || chr(0) || 'event' || chr(0) || 'user:' || CAST(user_id AS VARCHAR) || chr(0) || 'event:' || CAST(event_id % 7 AS VARCHAR)) AS id,
- sha256('provenance-agent/link/v1' || chr(0) || CAST(strlen(event_type) AS VARCHAR) || ':' || event_type || chr(0)) AS link,
- 'provenance-plugin/v2' || chr(0) || '4:tpch' || chr(0) || '6:loader' || chr(0) || CAST(strlen(CAST(user_id AS VARCHAR)) AS VARCHAR) || ':' || CAST(user_id AS VARCHAR) AS seed FROM events""")
+@query("""SELECT event_id, sha256('strandline/id/v1' || chr(0) || 'event' || chr(0) || 'user:' || CAST(user_id AS VARCHAR) || chr(0) || 'event:' || CAST(event_id % 7 AS VARCHAR)) AS id,
+ sha256('strandline/link/v1' || chr(0) || CAST(strlen(event_type) AS VARCHAR) || ':' || event_type || chr(0)) AS link,
+ 'strandline/plugin-seed/v1' || chr(0) || '4:tpch' || chr(0) || '6:loader' || chr(0) || CAST(strlen(CAST(user_id AS VARCHAR)) AS VARCHAR) || ':' || CAST(user_id AS VARCHAR) AS seed FROM events""")
 def q_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     user = F.concat(F.lit("user:"), F.col("user_id").cast("string"))
     return read(spark, sf_dir, "events").select(
-        "event_id", identity.event_id(user, F.col("event_id") % 7).alias("id"), identity.digest_id(identity.LINK_DOMAIN, F.col("event_type")).alias("link"),
+        "event_id", identity.event_id(user, F.col("event_id") % 7).alias("id"), identity.digest_id(identity.DOMAINS.link, F.col("event_type")).alias("link"),
         identity.plugin_seed("tpch", "loader", F.col("user_id").cast("string")).alias("seed"),
     )
 
@@ -560,7 +560,7 @@ def relay_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT c.conv_id, turn, sha256('provenance/v1') = '' AS lost, 's' || CAST(c.conv_id AS VARCHAR) AS telemetry_session,
+@query("""SELECT c.conv_id, turn, FALSE AS lost, 's' || CAST(c.conv_id AS VARCHAR) AS telemetry_session,
  lower(lpad(to_hex(c.conv_id), 8, '0')) || '000040008000' || lpad('0', 12, '0') AS trace, '8000' || lower(lpad(to_hex(turn), 12, '0')) AS span, turn = 0 AS session_start FROM conversations c""")
 def q_session_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions and traces that scopes inherit through their parents."""

@@ -23,6 +23,7 @@ from ..functions.text import render_url
 from ..model import external
 from ..shared import written
 
+ACTORS = "session string, last_actor string"
 SCOPES = "uuid string, session string, telemetry_session string, instance string, trace string, span string, category string, root boolean"
 
 
@@ -35,6 +36,9 @@ class Config:
     project: str | None = None
     trace_url: str | None = None
     span_url: str | None = None
+    containers: tuple[str, ...] = t.CONTAINERS
+    source_containers: tuple[str, ...] = t.SOURCE_CONTAINERS
+    domains: identity.Domains = identity.DOMAINS
 
     def __post_init__(self) -> None:
         if self.mode not in ("link", "audit"):
@@ -69,20 +73,21 @@ def deduplicated(events: DataFrame, seen: DataFrame | None = None) -> DataFrame:
 
 
 def _seed(config: Config, kind: str, raw: Column) -> Column:
-    return identity.scoped_seed(kind, config.harness, config.installation, raw)
+    return identity.scoped_seed(kind, config.harness, config.installation, raw, config.domains)
 
 
 def annotated(events: DataFrame, config: Config) -> DataFrame:
     """Events with what their own metadata says, and whether they bound sessions."""
     m = F.col("metadata")
-    hook = t.metadata_string(m, t.HOOK_EVENT)
+    said = lambda keys: t.metadata_string(m, keys, config.containers)
+    hook = said(t.HOOK_EVENT)
     mark, scope = F.col("kind") == "mark", F.col("kind") == "scope"
-    raw = t.metadata_string(m, t.SESSION)
+    raw = said(t.SESSION)
     return events.select(
-        "*", raw.alias("raw_session"), _seed(config, "session", raw).alias("own_session"), t.metadata_string(m, t.SESSION_INSTANCE).alias("own_instance"),
-        t.metadata_string(m, t.ACTOR).alias("raw_actor"), t.metadata_string(m, t.TELEMETRY_TRACE).alias("own_trace"), t.metadata_string(m, t.TELEMETRY_SPAN).alias("own_span"),
-        (F.lit(config.provider) if config.provider else t.metadata_string(m, t.TELEMETRY_PROVIDER)).cast("string").alias("provider"),
-        t.source_of(m).alias("source"),
+        "*", raw.alias("raw_session"), _seed(config, "session", raw).alias("own_session"), said(t.SESSION_INSTANCE).alias("own_instance"),
+        said(t.ACTOR).alias("raw_actor"), said(t.TELEMETRY_TRACE).alias("own_trace"), said(t.TELEMETRY_SPAN).alias("own_span"),
+        (F.lit(config.provider) if config.provider else said(t.TELEMETRY_PROVIDER)).cast("string").alias("provider"),
+        t.source_of(m, config.source_containers).alias("source"),
         (mark & ((F.col("name") == "session.start") | F.coalesce(hook == "SessionStart", F.lit(False)))).alias("start_mark"),
         (mark & ((F.col("name") == "session.end") | F.coalesce(hook == "SessionEnd", F.lit(False)))).alias("end_mark"),
         (scope & F.coalesce(F.col("category") == "agent", F.lit(False))).alias("agent_scope"),
@@ -145,8 +150,12 @@ def resolved_scopes(scopes: DataFrame, known: DataFrame, config: Config) -> Data
     return known.unionByName(rows)
 
 
-def resolved(events: DataFrame, config: Config, known_scopes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Events with session, actor, telemetry and boundaries, and all scopes known now."""
+def resolved(events: DataFrame, config: Config, known_scopes: DataFrame | None = None, known_actors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Events with session, actor, telemetry and boundaries, and all scopes known now.
+
+    The actor of an event is the last one that its session named, here or in ``known_actors``
+    (session, last_actor) of earlier batches, so results don't depend on where batches are cut.
+    """
     spark = events.sparkSession
     known = spark.createDataFrame([], SCOPES) if known_scopes is None else known_scopes
     noted = annotated(events, config)
@@ -159,7 +168,10 @@ def resolved(events: DataFrame, config: Config, known_scopes: DataFrame | None =
     rows = noted.join(mine, F.col("uuid") == F.col("m"), "left").join(up, F.col("parent_uuid") == F.col("p"), "left").join(lent.withColumnRenamed("parent_uuid", "l"), F.col("parent_uuid") == F.col("l"), "left")
     rows = rows.withColumn("session", F.coalesce("m_session", "own_session", "p_session", "lent"))
     last = F.last("raw_actor", ignorenulls=True).over(Window.partitionBy("session").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    actor = identity_actor(config, F.col("session"), F.coalesce(last, F.lit("agent")))
+    earlier = spark.createDataFrame([], ACTORS) if known_actors is None else known_actors
+    rows = rows.join(earlier.select(F.col("session").alias("a_session"), F.col("last_actor").alias("a_last")), F.col("session") == F.col("a_session"), "left")
+    rows = rows.withColumn("last_actor", F.coalesce(last, F.col("a_last"))).drop("a_session", "a_last")
+    actor = identity_actor(config, F.col("session"), F.coalesce("last_actor", F.lit("agent")))
     trace = F.coalesce("own_trace", "m_trace", "p_trace")
     span = F.coalesce("own_span", "m_span", "p_span")
     root = F.coalesce(F.col("m_root"), F.lit(False))
@@ -175,7 +187,7 @@ def resolved(events: DataFrame, config: Config, known_scopes: DataFrame | None =
 
 def identity_actor(config: Config, session: Column, raw: Column) -> Column:
     """The seed of an actor of a session."""
-    return _seed(config, "actor", F.concat_ws("\0", F.lit(identity.ACTOR_SEED_DOMAIN), session, raw))
+    return _seed(config, "actor", F.concat_ws("\0", F.lit(config.domains.actor_seed), session, raw))
 
 
 def projected(rows: DataFrame, config: Config, captured: DataFrame | None = None) -> DataFrame:
@@ -193,8 +205,8 @@ def projected(rows: DataFrame, config: Config, captured: DataFrame | None = None
     if config.mode == "audit":
         return rows.withColumn("source_key", external("agent", "event", F.col("key"))).drop("past")
     ending = F.col("source").isNull() & F.col("session_end") & F.col("captured")
-    link = external("agent", "link", t.link_id(F.col("source.ns"), F.col("source.kind"), F.col("source.id")))
-    end = external("agent", "session-event", t.session_end_id(F.col("session")))
+    link = external("agent", "link", t.link_id(F.col("source.ns"), F.col("source.kind"), F.col("source.id"), config.domains))
+    end = external("agent", "session-event", t.session_end_id(F.col("session"), config.domains))
     kept = rows.filter(F.col("source").isNotNull() | ending)
     starts = F.col("source").isNotNull() & F.col("session").isNotNull() & ~F.col("captured")
     return kept.withColumn("source_key", F.when(F.col("source").isNotNull(), link).otherwise(end)).withColumn("session_start", starts).drop("past")
@@ -231,7 +243,8 @@ def run_batch(events: DataFrame, config: Config, folder: str, batch: int) -> Non
     earlier = lambda name, schema: _parts(spark, f"{folder}/{name}", schema, batch)
     seen = earlier("keys", "key string")
     fresh = deduplicated(events, seen)
-    rows, scopes = resolved(fresh, config, earlier("scopes", SCOPES))
+    named = earlier("actors", ACTORS + ", batch long").groupBy("session").agg(F.max_by("last_actor", "batch").alias("last_actor"))
+    rows, scopes = resolved(fresh, config, earlier("scopes", SCOPES), named)
     rows = written(rows, "resolved")
     past = earlier("recorded", RECORDED)
     kept = projected(rows, config, past.filter("NOT session_end OR session_start"))
@@ -242,6 +255,8 @@ def run_batch(events: DataFrame, config: Config, folder: str, batch: int) -> Non
     out.write.mode("overwrite").parquet(f"{folder}/recorded/batch={batch}")
     known = earlier("scopes", SCOPES)
     scopes.join(known.select("uuid"), "uuid", "left_anti").write.mode("overwrite").parquet(f"{folder}/scopes/batch={batch}")
+    last = rows.filter("session IS NOT NULL AND last_actor IS NOT NULL").groupBy("session").agg(F.max_by("last_actor", "seq").alias("last_actor"))
+    last.write.mode("overwrite").parquet(f"{folder}/actors/batch={batch}")
     # keys last: they close the batch
     rows.select("key").write.mode("overwrite").parquet(f"{folder}/keys/batch={batch}")
 
@@ -265,11 +280,13 @@ def _parts(spark, path: str, schema: str, before: int) -> DataFrame:
 
 def stream(lines: DataFrame, config: Config, folder: str, checkpoint: str):
     """Start a query that ingests a stream of JSON lines (value). ``recorded`` in ``folder`` holds
-    what it records. Run again from its checkpoint, a batch gives the same rows."""
+    what it records, and ``rejected`` the lines that are no events (seq, json), which a caller
+    that wants to stop at them reads. Run again from its checkpoint, a batch gives the same rows."""
     from ..sources.spool import events_of
 
     def each(df: DataFrame, batch: int) -> None:
-        events = events_of(df.withColumn("seq", F.monotonically_increasing_id())).filter("NOT bad").drop("bad")
-        run_batch(written(events.withColumn("metadata", F.col("metadata")), "batch"), config, folder, batch)
+        lines = written(events_of(df.withColumn("seq", F.monotonically_increasing_id())), "batch")
+        lines.filter("bad").select("seq", "json").write.mode("overwrite").parquet(f"{folder}/rejected/batch={batch}")
+        run_batch(lines.filter("NOT bad").drop("bad"), config, folder, batch)
 
     return lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

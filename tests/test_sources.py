@@ -23,13 +23,15 @@ def one(spark, column):
 
 
 def test_identities(spark):
-    assert one(spark, identity.kernel_id("event", F.lit("jj-operation:abc"), "event-id")) == "4095c649ec3cab403930aa39da5aba43ae5b20adb0c0c6b733981bd3e4c2d130"
-    h = hashlib.sha256(b"provenance-agent/identity/v1\0")
+    assert one(spark, identity.kernel_id("event", F.lit("some:abc"), "event-id")) == hashlib.sha256(b"strandline/id/v1\0event\0some:abc\0event-id").hexdigest()
+    other = identity.Domains(kernel="mine/v9")
+    assert one(spark, identity.kernel_id("event", F.lit("some:abc"), "event-id", other)) == hashlib.sha256(b"mine/v9\0event\0some:abc\0event-id").hexdigest()
+    h = hashlib.sha256(b"strandline/agent-id/v1\0")
     for p in ("session", "seed é", "session"):
         h.update(len(p.encode()).to_bytes(8, "big") + p.encode())
     assert one(spark, identity.agent_id("session", F.lit("seed é"), "session")) == h.hexdigest()
     assert one(spark, identity.digest_id("d", F.lit("é"), "b")) == hashlib.sha256("d\0".encode() + "2:é\0".encode() + b"1:b\0").hexdigest()
-    assert one(spark, identity.scoped_seed("k", "h", "i", F.lit("é"))) == "provenance-agent/v1\x001:k\x001:h\x001:i\x002:é"
+    assert one(spark, identity.scoped_seed("k", "h", "i", F.lit("é"))) == "strandline/agent-seed/v1\x001:k\x001:h\x001:i\x002:é"
 
 
 @pytest.mark.parametrize(("stamp", "parts"), [
@@ -60,10 +62,10 @@ def test_bad_templates(template):
 
 
 def test_metadata(spark):
-    v = F.parse_json(F.lit(json.dumps({"session_id": 5, "session": {"session-key": "deep"}, "provenance": {"source": {"namespace": "n", "kind": "k", "id": "i"}, "status": "ok"}})))
+    v = F.parse_json(F.lit(json.dumps({"session_id": 5, "session": {"session-key": "deep"}, "lineage": {"source": {"namespace": "n", "kind": "k", "id": "i"}, "status": "ok"}})))
     assert one(spark, telemetry.metadata_string(v, telemetry.SESSION)) == "deep"
     assert tuple(one(spark, telemetry.source_of(v))) == ("n", "k", "i", "ok")
-    assert one(spark, telemetry.source_of(F.parse_json(F.lit('{"provenance": {"source": {"namespace": " ", "kind": "k", "id": "i"}}}')))) is None
+    assert one(spark, telemetry.source_of(F.parse_json(F.lit('{"lineage": {"source": {"namespace": " ", "kind": "k", "id": "i"}}}')))) is None
     assert one(spark, telemetry.metadata_string(F.parse_json(F.lit("[1]")), telemetry.SESSION)) is None
     assert one(spark, telemetry.span_id(F.lit("00112233-4455-6677-8899-AABBCCDDEEFF"))) == "8899aabbccddeeff"
 
@@ -206,8 +208,8 @@ def event(n, kind="scope", scope="start", parent=None, name="work", category=Non
 SOURCE = {"source": {"namespace": "kitchen", "kind": "batch", "id": "b-7"}, "outcome": "done"}
 OTHER = {"source": {"namespace": "kitchen", "kind": "batch", "id": "b-8"}}
 EVENTS = [
-    event(1, category="agent", session_id="s", actor_id="me"), event(2, parent=1, category="tool"), event(3, parent=2, category="tool", provenance=SOURCE), event(3, parent=2, category="tool", provenance=SOURCE),
-    event(4, kind="mark", parent=2, name="note"), event(5, parent=1, category="tool", provenance=OTHER), event(1, scope="end", category="agent"), event(9, category="agent"),
+    event(1, category="agent", session_id="s", actor_id="me"), event(2, parent=1, category="tool"), event(3, parent=2, category="tool", lineage=SOURCE), event(3, parent=2, category="tool", lineage=SOURCE),
+    event(4, kind="mark", parent=2, name="note"), event(5, parent=1, category="tool", lineage=OTHER), event(1, scope="end", category="agent"), event(9, category="agent"),
 ]
 
 
@@ -259,6 +261,18 @@ def test_stream_is_idempotent_and_remembers(spark, tmp_path):
     rows = spark.read.parquet(f"{tmp_path}/out/recorded").orderBy("batch", "seq").collect()
     assert [r.key[-7:] for r in rows] == ["3/start", "5/start", "001/end"] and len({r.session for r in rows}) == 1
     assert rows[1].parents == [rows[0].source_key] and rows[2].parents == [rows[1].source_key]
+    assert [r.json for r in spark.read.parquet(f"{tmp_path}/out/rejected").collect()] == ["not json"] * 3
+
+
+def test_the_last_actor_outlives_a_batch(spark, tmp_path):
+    events = [event(1, category="agent", session_id="s", actor_id="me"), event(2, parent=1, category="tool", lineage=SOURCE), event(3, parent=1, category="tool", lineage=OTHER)]
+    lines = spark.createDataFrame(list(enumerate(events)), "seq long, value string")
+    config = relay.Config("h", "i", mode="audit")
+    for n, cuts in enumerate([[0, 3], [0, 1, 3], [0, 1, 2, 3]]):
+        for batch, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            relay.run_batch(spool.events_of(lines.filter(f"seq >= {a} AND seq < {b}")).drop("bad"), config, f"file://{tmp_path}/{n}", batch)
+    found = [sorted((r.key, r.actor, tuple(r.parents)) for r in spark.read.parquet(f"{tmp_path}/{n}/recorded").collect()) for n in range(3)]
+    assert found[0] == found[1] == found[2] and len({actor for _, actor, _ in found[0]}) == 1
 
 
 def test_spool(spark, tmp_path):
