@@ -161,22 +161,59 @@ def reachable(log: Log, heads: DataFrame) -> DataFrame:
     return found
 
 
-#: Columns that tell one row from another in each table of an operation.
-OF_OPERATION = [name for name, ddl in SCHEMAS.items() if ddl.startswith("op_id")]
+#: Tables of an event, and of a schema; the others name their operation themselves.
+OF_EVENT = ("event_parents", "subjects", "requires")
+OF_SCHEMA = ("schema_requires", "entity_schemas", "fields", "relation_schemas")
+
+
+def owned(log: Log, name: str) -> DataFrame:
+    """A table of a log with the operation (op_id) that each row belongs to: an event's rows to the
+    operation that records it, a schema's to those that register it."""
+    table = getattr(log, name)
+    if name in OF_EVENT:
+        return table.join(log.events.select("event_id", "op_id").distinct(), "event_id")
+    if name in OF_SCHEMA:
+        return table.join(log.schemas.select("ns", "version", "op_id").distinct(), ["ns", "version"])
+    return table
+
+
+def _row_digest(table: DataFrame, name: str, without: tuple[str, ...]) -> Column:
+    cols = [canonical(F.col(f.name)) if f.dataType.typeName() == "map" else F.col(f.name).cast("string") for f in table.schema if f.name not in without]
+    # nulls and separators can't be confused
+    return F.sha2(F.to_json(F.array(F.lit(name), *[F.coalesce(c, F.lit("\1")) for c in cols])), 256)
+
+
+def _folded(parts: list[DataFrame], key: list[str]) -> DataFrame:
+    """(key, digest) of rows (key, row): a sum of row hashes of two kinds, so that no group is
+    gathered in one place; equal rows count once."""
+    rows = reduce(DataFrame.unionByName, parts).distinct()
+    total = lambda f: F.sum(f("row").cast("decimal(20,0)")).cast("string")
+    crc = lambda c: F.conv(F.substring(c, 1, 15), 16, 10)
+    return rows.groupBy(*key).agg(F.concat_ws(":", F.count(F.lit(1)).cast("string"), total(F.xxhash64), total(lambda c: crc(F.col(c)))).alias("digest"))
 
 
 def operation_digest(log: Log) -> DataFrame:
-    """(op_id, digest) over an operation's attributes, source, parents and facts."""
+    """(op_id, digest) over an operation's attributes, source, parents and all its facts, those of its
+    events and schemas among them."""
     parts = []
-    for name in OF_OPERATION:
+    for name in SCHEMAS:
         if name in log.tables:
-            table = log.tables[name]
-            cols = [canonical(F.col(f.name)) if f.dataType.typeName() == "map" else F.col(f.name).cast("string") for f in table.schema if f.name != "op_id"]
-            # nulls and separators can't be confused
-            row = F.sha2(F.to_json(F.array(F.lit(name), *[F.coalesce(c, F.lit("\1")) for c in cols])), 256)
-            parts.append(table.select("op_id", row.alias("row")))
-    rows = reduce(DataFrame.unionByName, parts)
-    return rows.groupBy("op_id").agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("row"))), 256).alias("digest"))
+            table = owned(log, name)
+            parts.append(table.select("op_id", _row_digest(table, name, ("op_id",)).alias("row")))
+    return _folded(parts, ["op_id"])
+
+
+def schema_digest(log: Log) -> DataFrame:
+    """(ns, version, digest) over all that a schema defines."""
+    parts = [getattr(log, n).select("ns", "version", _row_digest(getattr(log, n), n, ("ns", "version")).alias("row")) for n in OF_SCHEMA if n in log.tables]
+    parts.append(log.schemas.select("ns", "version", F.lit("").alias("row")))
+    return _folded(parts, ["ns", "version"])
+
+
+def of_operations(log: Log, ops: DataFrame) -> Log:
+    """The part of a log that belongs to the operations of ``ops`` (op_id)."""
+    ops = ops.select("op_id").distinct()
+    return Log(log.spark, {name: owned(log, name).join(ops, "op_id", "left_semi").select(*getattr(log, name).columns) for name in SCHEMAS if name in log.tables})
 
 
 def merge(left: Log, right: Log) -> Log:
@@ -186,15 +223,12 @@ def merge(left: Log, right: Log) -> Log:
     if clash:
         raise LogError("IdentityCollision", clash.op_id)
     new = right.operations.select("op_id").join(left.operations.select("op_id"), "op_id", "left_anti")
+    more = of_operations(right, new)
     tables = {}
     for name in {*left.tables, *right.tables}:
-        mine, theirs = getattr(left, name), getattr(right, name)
-        if "op_id" in mine.columns:
-            tables[name] = mine.unionByName(theirs.join(new, "op_id", "left_semi"))
-        else:
-            tables[name] = mine.unionByName(theirs)
-            has_map = any(f.dataType.typeName() == "map" for f in mine.schema)
-            tables[name] = tables[name] if has_map else tables[name].distinct()
+        both = getattr(left, name).unionByName(getattr(more, name))
+        # a schema that both register is there once
+        tables[name] = both.distinct() if name in OF_SCHEMA else both
     return Log(left.spark, tables)
 
 
@@ -205,6 +239,12 @@ def publish_heads(actual: DataFrame, expected: DataFrame, following: DataFrame)
     return actual.select("op_id").unionByName(following.select("op_id")).distinct().join(gone, "op_id", "left_anti")
 
 
+def latest_resources(log: Log, topo: DataFrame | None = None) -> DataFrame:
+    """The last observation of each resource; repeats of the current one change nothing."""
+    last = ordered(log, log.resources, topo).groupBy("resource").agg(F.max_by(F.struct("availability", "integrity", "retention"), "at").alias("s"))
+    return last.select("resource", "s.*")
+
+
 def open_sessions(log: Log) -> DataFrame:
     """Sessions that were opened and not ended."""
     return log.sessions.select("session_id").distinct().join(log.session_ends, "session_id", "left_anti")

@@ -74,12 +74,6 @@ def satisfied(effective: DataFrame, observed: DataFrame) -> DataFrame:
     return joined.select("resource", "required", "observed", F.coalesce(F.col("observed") >= F.col("required"), F.lit(False)).alias("satisfied"))
 
 
-def latest_resources(log: Log, topo: DataFrame | None = None) -> DataFrame:
-    """The last observation of each resource; repeats of the current one change nothing."""
-    last = ordered(log, log.resources, topo).groupBy("resource").agg(F.max_by(F.struct("availability", "integrity", "retention"), "at").alias("s"))
-    return last.select("resource", "s.*")
-
-
 def reconcile(desired: DataFrame, actual: DataFrame) -> DataFrame:
     """resource and action: ``create`` what is wanted and isn't there, ``remove`` the opposite."""
     create = desired.select("resource").distinct().join(actual, "resource", "left_anti").withColumn("action", F.lit("create"))

@@ -129,6 +129,7 @@ def test_snapshot(spark):
 
 def batch(spark, seed, source, **more):
     observed = [(seed, 0, external_key("book", "recipe", "r-9"), "book", "1", string(title="new"))]
+    more = {"entity_schemas": [("book", "1", "recipe", True)], "schemas": [], **more}
     return Log.of(spark, operations=[(seed, source, string(by="test"))], observations=observed, events=[(seed, 1, f"{seed}#0", None, None, {})],
                   subjects=[(f"{seed}#0", external_key("book", "recipe", "r-9"))], requires=[(f"{seed}#0", "res-b", 1), (f"{seed}#0", "res-a", 2)], **more)
 
@@ -179,10 +180,111 @@ def test_store_contract(spark, tmp_path):
     assert memory.publish(log) == "published" and memory.publish(log) == "already-present" and memory.heads() == ["op-agent"]
 
 
+def test_a_put_that_breaks_off_can_be_made_again(spark, tmp_path, monkeypatch):
+    """Broken off after each table, and before the batch is marked, a put leaves nothing that counts."""
+    log = kitchen(spark)
+    count = {"n": 0, "stop": 0}
+    real = Store._write
+
+    def write(self, path, data):
+        if "committed" in str(path) and count["stop"] is None:
+            raise OSError("stopped")
+        return real(self, path, data)
+
+    from pyspark.sql import DataFrameWriter
+
+    parquet = DataFrameWriter.parquet
+
+    def one(self, path, *a, **k):
+        if count["stop"] is not None and "/batches/" in path:
+            if count["n"] == count["stop"]:
+                raise OSError("stopped")
+            count["n"] += 1
+        return parquet(self, path, *a, **k)
+
+    monkeypatch.setattr(Store, "_write", write)
+    monkeypatch.setattr(DataFrameWriter, "parquet", one)
+    store = Store(spark, f"file://{tmp_path}/s")
+    for stop in (0, 1, 3, None):
+        count.update(n=0, stop=stop)
+        with pytest.raises(OSError, match="stopped"):
+            store.put(log)
+        assert not store.stored().tables
+    count["stop"] = 1000
+    assert store.put(log) == 4 and store.put(log) == 0
+    assert store.publish_heads([], ["op-agent"]) == "published" and replay.view_counts(store.load()) == replay.view_counts(log)
+    # a manifest that a writer broke off in doesn't hide the one before
+    (tmp_path / "s" / "heads" / "000000000002.json").write_text('{"heads": [')
+    assert store.heads() == ["op-agent"] and store.publish_heads(["op-agent"], ["op-book"]) == "published" and store.heads() == ["op-book"]
+    # subjects, event parents and schemas are a part of an operation
+    for name, changed in (("subjects", log.subjects.withColumn("entity", F.lit("X\0a\0b\0c"))), ("requires", log.requires.withColumn("strength", F.lit(0))), ("relation_schemas", log.relation_schemas.withColumn("role", F.lit("primary")))):
+        with pytest.raises(LogError, match="IdentityCollision"):
+            replay.merge(log, Log(spark, log.tables | {name: changed}))
+
+
+def test_store_get_and_objects(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    store.put(kitchen(spark))
+    found = store.get("op-book")
+    assert [r.op_id for r in found.operations.collect()] == ["op-book"] and found.subjects.count() == 1 and found.relations.count() == 1
+    with pytest.raises(LogError, match="MissingOperation"):
+        store.get("op-none")
+    store.put_object("o-1", b"payload")
+    store.put_object("o-1", b"payload")
+    assert store.get_object("o-1") == b"payload"
+    with pytest.raises(LogError, match="IdentityCollision"):
+        store.put_object("o-1", b"other")
+    with pytest.raises(LogError, match="MissingObject"):
+        store.get_object("o-2")
+
+
+def test_transactions_are_checked(spark):
+    """One transaction for each fault, planned together, and only the sound one gets through."""
+    log = kitchen(spark)
+    log.tables["entity_schemas"] = spark.createDataFrame([("book", "1", "recipe", False)], "ns string, version string, kind string, allow_unknown boolean")
+    log.tables["fields"] = spark.createDataFrame([("book", "1", "recipe", "title", "string", True)], "ns string, version string, kind string, field string, type string, required boolean")
+    log.tables["session_ends"] = spark.createDataFrame([("op-agent", 9, "s-old")], "op_id string, ord int, session_id string")
+    log.tables["sessions"] = log.sessions.unionByName(spark.createDataFrame([("op-agent", 8, "s-old", None, {})], log.sessions.schema))
+    recipe = external_key("book", "recipe", "r-5")
+    seen = lambda seed, version="1", entity=recipe, **attrs: (seed, 0, entity, "book", version, string(**attrs))
+    happened = lambda seed, session=None, actor=None: (seed, 1, f"{seed}#0", session, actor, {})
+    rows = {
+        "ok": [seen("ok", title="t")], "MissingSchema": [seen("MissingSchema", "7", title="t")], "UnknownEntityType": [seen("UnknownEntityType", entity=external_key("book", "page", "1"), title="t")],
+        "MissingField": [seen("MissingField")], "UnknownField": [seen("UnknownField", title="t", zest="z")], "InvalidFieldType": [("InvalidFieldType", 0, recipe, "book", "1", {"title": ("int", "1")})],
+    }
+    others = ["MissingSession", "SessionEnded", "MissingActor", "ActorSessionMismatch", "MissingEvent", "MissingClaim", "IdentityCollision", "InvalidSelfRelation"]
+    events = [happened("MissingSession", "s-9"), happened("SessionEnded", "s-old"), happened("MissingActor", "s-1", "a-9"), happened("ActorSessionMismatch", "s-2", "a-1"), happened("MissingEvent"), happened("InvalidSelfRelation"), happened("ok", "s-2", None)]
+    batch = Log.of(
+        spark, operations=[(s, external_key("test", "seed", s), {}) for s in (*rows, *others)], observations=[r for rs in rows.values() for r in rs], events=events,
+        event_parents=[("MissingEvent#0", "e-none"), ("ok#0", "e-book")], sessions=[("ok", 2, "s-2", "s-1", {}), ("IdentityCollision", 2, "s-1", None, string(harness_id="fork"))], releases=[("MissingClaim", 0, "c-none")],
+        relations=[("InvalidSelfRelation", "InvalidSelfRelation#0", "book", "1", "book", "revises", recipe, recipe, "[]")],
+    )
+    planned = transact.plan(log, batch)
+    assert {r.seed: r.status for r in planned.outcomes.collect()} == {"ok": "new"} | {c: c for c in (*rows, *others) if c != "ok"}
+    assert planned.log.operations.count() == 1 and [r.parent_id for r in planned.log.event_parents.collect()] == ["e-book"]
+
+
+def test_retention_changes_by_transition(spark):
+    log = kitchen(spark)
+    (held,) = {r.resource for r in log.claims.collect()}
+    log.tables["claims"] = log.claims.unionByName(spark.createDataFrame([("op-kitchen", 9, "c-2", "event", "e-kitchen", "res-k", 1), ("op-kitchen", 10, "c-3", "event", "e-kitchen", "res-k", 0)], log.claims.schema))
+    source = lambda s: external_key("test", "seed", s)
+    batch = Log.of(
+        spark, operations=[(s, source(s), {}) for s in "abc"], events=[(s, 1, f"{s}#0", None, None, {}) for s in "ab"],
+        requires=[("a#0", held, 1), ("a#0", "res-n", 0), ("b#0", "res-n", 2)], releases=[("c", 0, "c-2")],
+        resources=[("c", 1, held, "local", "verified", 2), ("c", 2, "res-n", "local", "verified", 1), ("c", 3, "res-n", "local", "verified", 1), ("c", 4, "res-n", "lost", "verified", None)],
+    )
+    planned = transact.plan(log, batch)
+    assert {(r.kind, r.subject, r.strength) for r in planned.prepare.collect()} == {("became-required", "res-n", 2)}
+    assert {(r.kind, r.subject, r.strength) for r in planned.finalize.collect()} == {("weakened", "res-k", 0)}
+    # an observation of what is known already is no fact
+    assert [(r.resource, r.availability) for r in planned.log.resources.orderBy("ord").collect()] == [("res-n", "local"), ("res-n", "lost")]
+
+
 def test_session_faults(spark):
     log = Log.of(spark, sessions=[("o", 0, "s1", None, {}), ("o", 1, "s2", None, {})], session_ends=[("o", 2, "s2")], actors=[("o", 3, "a1", "s1", {})])
     new = Log.of(spark, events=[("n", 0, "e1", "s1", "a1", {}), ("n", 1, "e2", "s2", None, {}), ("n", 2, "e3", "s9", None, {}), ("n", 3, "e4", "s1", "a9", {})], session_ends=[("n", 4, "s2")])
-    assert {(r.subject, r.code) for r in transact.session_faults(log, new).collect()} == {("e2", "SessionEnded"), ("e3", "MissingSession"), ("e4", "MissingActor")}
+    assert {(r.op_id, r.subject, r.code) for r in transact.session_faults(log, new).collect()} == {("n", "e2", "SessionEnded"), ("n", "e3", "MissingSession"), ("n", "e4", "MissingActor")}
 
 
 @pytest.mark.parametrize(("tag", "text_", "kind", "ok"), [
