@@ -216,10 +216,15 @@ def of_operations(log: Log, ops: DataFrame) -> Log:
     return Log(log.spark, {name: owned(log, name).join(ops, "op_id", "left_semi").select(*getattr(log, name).columns) for name in SCHEMAS if name in log.tables})
 
 
+def collisions(left: Log, right: Log) -> DataFrame:
+    """(op_id) of operations that are in both logs and aren't the same in all their facts."""
+    other = operation_digest(right).withColumnRenamed("digest", "other")
+    return operation_digest(left).join(other, "op_id").filter("digest <> other").select("op_id")
+
+
 def merge(left: Log, right: Log) -> Log:
     """The union of two logs. An operation that is in both must be the same in both."""
-    other = operation_digest(right).withColumnRenamed("digest", "other")
-    clash = operation_digest(left).join(other, "op_id").filter("digest <> other").first()
+    clash = collisions(left, right).first()
     if clash:
         raise LogError("IdentityCollision", clash.op_id)
     new = right.operations.select("op_id").join(left.operations.select("op_id"), "op_id", "left_anti")

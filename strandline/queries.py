@@ -15,10 +15,10 @@ from .functions import telemetry as t
 from .functions.attributes import counter_of, format_value, saturating_sum, text_of, title_of
 from .functions.text import clean_text, compact_text, detail_uri, entity_uri, percent_encode, plain_entity, render_url, time_parts
 from .model import Log, canonical, external, external_key
-from .operators import graph, replay, retention, validate
+from .operators import graph, replay, retention, transact, validate
 from .operators.predicates import And, EntityType, Not, Or, PropertyEquals
 from .plans import chronicle
-from .sources import hooks, spool, tables
+from .sources import hooks, plugins, snapshot, spool, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -203,7 +203,20 @@ def q_named_why(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.instantiate(log, "tpch", "1", "why", CUSTOMER).entities.select(*_shown("entity"))
 
 
-@query()
+_BOTH_WAYS = """both_ways AS (SELECT relation, src AS here, dst AS there, TRUE AS forward FROM chosen UNION SELECT relation, dst, src, FALSE FROM chosen),
+ ranked AS (SELECT b.*, CASE r.role WHEN 'causal' THEN 0 WHEN 'primary' THEN 1 WHEN 'supporting' THEN 2 WHEN 'contextual' THEN 3 ELSE 4 END AS priority,
+  'tpch://' || substr(there, 6) AS uri FROM both_ways b JOIN rel r USING (relation))"""
+
+
+def _path_step(at: int) -> str:
+    seen = ", ".join(["'tpch/order/1'", *[f"(SELECT there FROM p{k})" for k in range(1, at)]])
+    here = "'tpch/order/1'" if at == 1 else f"(SELECT there FROM p{at - 1})"
+    return f"p{at} AS (SELECT {at} AS step, there, relation, forward FROM ranked WHERE here = {here} AND there NOT IN ({seen}) ORDER BY priority, 'tpch/' || relation, uri, there LIMIT 1)"
+
+
+@query(_search(_EXPLAINED, "tpch/order/1", 3, "SELECT DISTINCT relation, src, dst FROM steps JOIN found ON here = entity WHERE depth < 3").replace(
+    "SELECT DISTINCT relation, src, dst FROM steps", ", chosen AS (SELECT DISTINCT relation, src, dst FROM steps") + f"), {_BOTH_WAYS}, {', '.join(map(_path_step, (1, 2, 3)))}"
+    " SELECT CAST(step AS INTEGER) AS step, there AS entity, relation, forward FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3)")
 def q_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The greedy causal path from an order: step, entity, relation."""
     log = tables.graph_log(spark, sf_dir)
@@ -479,6 +492,192 @@ def q_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.groupBy(F.col("conv_id").cast("string").alias("session")).agg(saturating_sum(counter_of(attrs, chronicle.EDITS)).cast("long").alias("edits"))
 
 
+@query("""SELECT CAST(count(DISTINCT conv_id) AS VARCHAR) AS sessions, CAST(count(DISTINCT role) AS VARCHAR) AS subagents, count(*) AS operations,
+ CAST(sum(turn) AS VARCHAR) AS edits, CAST(sum(CASE WHEN turn % 2 = 0 THEN length(text) END) AS VARCHAR) AS files FROM conversations""")
+def q_folded_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folded counts of a report over all turns."""
+    log = tables.turn_log(spark, sf_dir)
+    turns = read(spark, sf_dir, "conversations").select(F.concat_ws("-", F.lit("turn"), "conv_id", "turn").alias("op_id"), F.col("turn").alias("n"), F.length("text").alias("chars"))
+    value = lambda c: F.struct(F.lit("int").alias("tag"), c.cast("string").alias("text"))
+    attrs = F.map_filter(F.create_map(F.lit("edit-count"), value(F.col("n")), F.lit("files"), F.when(F.col("n") % 2 == 0, value(F.col("chars")))), lambda _, v: v.isNotNull())
+    none = F.lit(None).cast("map<string, struct<tag: string, text: string>>")
+    events = log.events.join(turns, "op_id").select("op_id", F.lit(0).alias("ord"), "event_id", "session", "actor", attrs.alias("attrs"))
+    found = chronicle.folded(Log(spark, {"operations": log.operations.select("op_id", "source", none.alias("attrs")), "events": events}), log.operations.select("op_id"))
+    return found.select(*[F.col(c).cast("string").alias(c) if c != "operations" else F.col(c) for c in ("sessions", "subagents", "operations", "edits", "files")])
+
+
+# --- writes -----------------------------------------------------------------------------------
+
+
+def _order_transactions(spark: SparkSession, sf_dir: str) -> transact.Plan:
+    """Orders as transactions with their own source. Of seven, one names a source that isn't there as
+    parent, one uses a session that isn't there, one releases a claim that isn't there, one is in
+    the log already, and one has its source in the log under another operation."""
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("seed"), (F.col("o_orderkey") % 7).alias("c"))
+    source = external("shop", "order", F.col("k"))
+    none = F.lit(None).cast("string")
+    no_attrs = F.lit(None).cast("map<string, struct<tag: string, text: string>>")
+    known = orders.filter("c IN (3, 4)").select(F.when(F.col("c") == 3, identity.operation_id(F.col("seed"))).otherwise(F.concat(F.lit("other-"), F.col("seed"))).alias("op_id"), source.alias("source"), no_attrs.alias("attrs"))
+    batch = Log(spark, {
+        "operations": orders.select(F.col("seed").alias("op_id"), source.alias("source"), no_attrs.alias("attrs")),
+        "events": orders.select(F.col("seed").alias("op_id"), F.lit(0).alias("ord"), F.concat("seed", F.lit("#0")).alias("event_id"), F.when(F.col("c") == 1, F.lit("nowhere")).alias("session"), none.alias("actor"), no_attrs.alias("attrs")),
+        "releases": orders.filter("c = 2").select(F.col("seed").alias("op_id"), F.lit(1).alias("ord"), F.concat(F.lit("claim-"), F.col("k").cast("string")).alias("claim_id")),
+    })
+    parents = orders.filter("c = 0").select(F.col("seed").alias("op_id"), external("shop", "order", -F.col("k") - 1).alias("parent"))
+    return transact.plan(Log(spark, {"operations": known}), batch, parents)
+
+
+@query("""SELECT 'order-' || CAST(o_orderkey AS VARCHAR) AS seed, CASE o_orderkey % 7 WHEN 0 THEN 'MissingSourceParent' WHEN 1 THEN 'MissingSession' WHEN 2 THEN 'MissingClaim' WHEN 3 THEN 'idempotent'
+ WHEN 4 THEN 'SourceConflict' ELSE 'new' END AS status, sha256('strandline/id/v1' || chr(0) || 'operation' || chr(0) || 'order-' || CAST(o_orderkey AS VARCHAR) || chr(0) || 'operation') AS op_id FROM orders""")
+def q_transact_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _order_transactions(spark, sf_dir).outcomes.select("seed", "status", "op_id")
+
+
+@query("""SELECT 'order-' || CAST(o_orderkey AS VARCHAR) AS seed, CASE o_orderkey % 7 WHEN 1 THEN 'MissingSession' ELSE 'MissingClaim' END AS code,
+ CASE o_orderkey % 7 WHEN 1 THEN 'order-' || CAST(o_orderkey AS VARCHAR) || '#0' ELSE 'claim-' || CAST(o_orderkey AS VARCHAR) END AS detail FROM orders WHERE o_orderkey % 7 IN (1, 2)""")
+def q_transact_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _order_transactions(spark, sf_dir).faults
+
+
+@query("""WITH s AS (SELECT c_custkey AS k, c_custkey % 3 AS before, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_custkey % 3 END AS kept, CASE WHEN c_custkey % 5 = 0 THEN 1 END AS needed FROM customer),
+ t AS (SELECT k, before, CASE WHEN kept IS NULL THEN needed WHEN needed IS NULL THEN kept ELSE greatest(kept, needed) END AS after FROM s)
+ SELECT CASE WHEN after IS NULL OR after < before THEN 'finalize' ELSE 'prepare' END AS phase, CASE WHEN after IS NULL THEN 'became-unrequired' WHEN after < before THEN 'weakened' ELSE 'strengthened' END AS kind,
+ 'tpch/user/' || CAST(k AS VARCHAR) AS subject, CAST(coalesce(after, -1) AS INTEGER) AS strength FROM t WHERE before IS DISTINCT FROM after""")
+def q_retention_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer is claimed; even ones are released, and events of every fifth require it pinned."""
+    customers = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_custkey").cast("string").alias("id"))
+    no_attrs = F.lit(None).cast("map<string, struct<tag: string, text: string>>")
+    resource = tables.key("user", "k")
+    log = Log(spark, {
+        "operations": spark.createDataFrame([("start", None, None)], "op_id string, source string, attrs map<string, struct<tag: string, text: string>>"),
+        "claims": customers.select(F.lit("start").alias("op_id"), F.lit(0).alias("ord"), F.concat(F.lit("claim-"), F.col("id")).alias("claim_id"), F.lit("event").alias("owner_kind"), F.lit("e").alias("owner_id"), resource.alias("resource"), (F.col("k") % 3).cast("int").alias("strength")),
+    })
+    due = customers.filter("k % 2 = 0 OR k % 5 = 0")
+    seed = F.concat(F.lit("due-"), F.col("id"))
+    batch = Log(spark, {
+        "operations": due.select(seed.alias("op_id"), external("shop", "due", F.col("id")).alias("source"), no_attrs.alias("attrs")),
+        "events": due.select(seed.alias("op_id"), F.lit(0).alias("ord"), F.concat(seed, F.lit("#0")).alias("event_id"), F.lit(None).cast("string").alias("session"), F.lit(None).cast("string").alias("actor"), no_attrs.alias("attrs")),
+        "requires": due.filter("k % 5 = 0").select(F.concat(seed, F.lit("#0")).alias("event_id"), resource.alias("resource"), F.lit(1).alias("strength")),
+        "releases": due.filter("k % 2 = 0").select(seed.alias("op_id"), F.lit(1).alias("ord"), F.concat(F.lit("claim-"), F.col("id")).alias("claim_id")),
+    })
+    planned = transact.plan(log, batch)
+    steps = planned.prepare.withColumn("phase", F.lit("prepare")).unionByName(planned.finalize.withColumn("phase", F.lit("finalize")))
+    return steps.select("phase", "kind", plain_entity(F.col("subject")).alias("subject"), F.coalesce("strength", F.lit(-1)).alias("strength"))
+
+
+@query("SELECT 'order-' || CAST(o_orderkey AS VARCHAR) AS op_id FROM orders WHERE o_orderkey % 4 = 0 OR o_orderkey % 9 = 0")
+def q_merge_collision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two logs of all orders: every fourth has another subject in one, every ninth another attribute."""
+    orders = read(spark, sf_dir, "orders")
+    op = F.concat(F.lit("order-"), F.col("o_orderkey").cast("string"))
+
+    def log(other: bool) -> Log:
+        changed = lambda n: (F.col("o_orderkey") % n == 0) & F.lit(other)
+        return Log(spark, {
+            "operations": orders.select(op.alias("op_id"), F.lit(None).cast("string").alias("source"), tables.string_attrs(status=F.when(changed(9), F.lit("?")).otherwise(F.col("o_orderstatus"))).alias("attrs")),
+            "events": orders.select(op.alias("op_id"), F.lit(0).alias("ord"), op.alias("event_id"), F.lit(None).cast("string").alias("session"), F.lit(None).cast("string").alias("actor"), F.lit(None).cast("map<string, struct<tag: string, text: string>>").alias("attrs")),
+            "subjects": orders.select(op.alias("event_id"), tables.key("customer", F.when(changed(4), -1 - F.col("o_custkey")).otherwise(F.col("o_custkey"))).alias("entity")),
+        })
+
+    return replay.collisions(log(False), log(True))
+
+
+# --- snapshots, hooks, plugins ----------------------------------------------------------------
+
+
+def _repository(spark: SparkSession, sf_dir: str) -> snapshot.Repository:
+    """Conversations as changes, their turns as commits, each on the one before. Every third turn was
+    made by an operation, and of even conversations the last turn is a head."""
+    turns = read(spark, sf_dir, "conversations")
+    id = lambda turn: F.concat(F.lpad(F.col("conv_id").cast("string"), 9, "0"), F.lit("-"), F.lpad(turn.cast("string"), 4, "0"))
+    made = turns.filter("turn % 3 = 0")
+    last = turns.filter("conv_id % 2 = 0").groupBy("conv_id").agg(F.max("turn").alias("turn"))
+    change = F.col("conv_id").cast("string").alias("change_id")
+    return snapshot.Repository(
+        ops=made.select(F.concat(F.lit("op-"), id(F.col("turn"))).alias("op_id"), (F.col("conv_id") * 10_000 + F.col("turn")).alias("ord"), F.col("role").alias("description")),
+        op_parents=made.filter("turn > 0").select(F.concat(F.lit("op-"), id(F.col("turn"))).alias("op_id"), F.concat(F.lit("op-"), id(F.col("turn") - 3)).alias("parent_id")),
+        produced=made.select(F.concat(F.lit("op-"), id(F.col("turn"))).alias("op_id"), id(F.col("turn")).alias("commit_id"), F.when(F.col("turn") > 0, id(F.col("turn") - 3)).alias("predecessor_id")),
+        commits=turns.select(id(F.col("turn")).alias("commit_id"), change, F.col("role").alias("description"), F.lit("a").alias("author"), F.lit("a@b").alias("email"), F.lit(0).cast("long").alias("millis"), F.lit(0).alias("offset")),
+        commit_parents=turns.filter("turn > 0").select(id(F.col("turn")).alias("commit_id"), id(F.col("turn") - 1).alias("parent_id")),
+        heads=last.select(id(F.col("turn")).alias("commit_id")),
+        workspaces=last.filter("conv_id = 0").select(F.lit("default").alias("workspace_id"), id(F.col("turn")).alias("commit_id")),
+    )
+
+
+_COMMIT = "lpad(CAST(conv_id AS VARCHAR), 9, '0') || '-' || lpad(CAST({} AS VARCHAR), 4, '0')"
+
+
+@query(f"SELECT CAST(conv_id AS VARCHAR) AS change_id, max(CASE WHEN conv_id % 2 = 0 OR turn % 3 = 0 THEN {_COMMIT.format('turn')} END) AS commit_id FROM conversations GROUP BY conv_id")
+def q_change_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commit that each change is at."""
+    repo = _repository(spark, sf_dir)
+    return snapshot.current_commits(repo, snapshot.commit_closure(repo))
+
+
+@query(f"""WITH c AS (SELECT *, {_COMMIT.format('turn')} AS id, {_COMMIT.format('turn - 3')} AS before, max(CASE WHEN conv_id % 2 = 0 OR turn % 3 = 0 THEN turn END) OVER (PARTITION BY conv_id) AS last FROM conversations)
+ SELECT 'produced' AS name, 'jj/operation/op-' || id AS src, 'jj/commit/' || id AS dst FROM c WHERE turn % 3 = 0
+ UNION ALL SELECT 'follows', 'jj/operation/op-' || id, 'jj/operation/op-' || before FROM c WHERE turn % 3 = 0 AND turn > 0
+ UNION ALL SELECT 'predecessor-of', 'jj/commit/' || id, 'jj/commit/' || before FROM c WHERE turn % 3 = 0 AND turn > 0
+ UNION ALL SELECT 'belongs-to-change', 'jj/commit/' || id, 'jj/change/' || CAST(conv_id AS VARCHAR) FROM c WHERE turn <= last
+ UNION ALL SELECT n, 'jj/workspace/default', 'jj/commit/' || id FROM c, (VALUES ('contains'), ('currently-at')) v(n) WHERE conv_id = 0 AND turn = last""")
+def q_snapshot_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, links = snapshot.observations(_repository(spark, sf_dir), "now")
+    return links.select("name", *_shown("src", "dst"))
+
+
+@query(f"SELECT 'op-' || {_COMMIT.format('turn')} AS op_id FROM conversations WHERE turn % 3 = 0 AND conv_id % 2 = 1")
+def q_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations that are still to be ingested, those of even conversations being anchored."""
+    ops = _repository(spark, sf_dir).ops
+    return snapshot.pending(ops, ops.filter(F.floor(F.col("ord") / 10_000) % 2 == 0).select(snapshot.key("operation", F.col("op_id")).alias("source"))).select("op_id")
+
+
+@query("""SELECT event_id, 'observe/payload/' || sha256(props) AS source_id, json_extract_string(props, '$.k') AS k, 'int' AS tag FROM events""")
+def q_generic_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events' properties as payloads of no known kind."""
+    found = hooks.generic_requests(read(spark, sf_dir, "events").select(F.col("props").alias("payload")).distinct(), "shop")
+    k = F.col("attrs")["k"]
+    rows = read(spark, sf_dir, "events").select("event_id", F.col("props").alias("p")).join(found, F.col("p") == F.col("payload"))
+    return rows.select("event_id", "source_id", k["text"].alias("k"), k["tag"].alias("tag"))
+
+
+@query("""WITH p AS (SELECT doc_id, lang, source, '{"event":"create","id":"ADR-' || CAST(doc_id AS VARCHAR) || '","title":"' || source || '","frontmatter":{"status":"' || lang || '","tags":["a","' || lang || '"],"related":"ADR-0"}}' AS payload FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL)
+ SELECT doc_id, 'create/ADR-' || CAST(doc_id AS VARCHAR) || '/' || sha256(payload) AS source_id, 'create' AS cursor, 'adr' AS document_type, lang AS status, source AS title, '["a","' || lang || '"]' AS tags, '["ADR-0"]' AS related FROM p""")
+def q_document_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as the payloads of a document's creation."""
+    docs = read(spark, sf_dir, "documents").filter("lang IS NOT NULL AND source IS NOT NULL")
+    front = F.struct(F.col("lang").alias("status"), F.array(F.lit("a"), F.col("lang")).alias("tags"), F.lit("ADR-0").alias("related"))
+    payload = F.to_json(F.struct(F.lit("create").alias("event"), F.concat(F.lit("ADR-"), F.col("doc_id").cast("string")).alias("id"), F.col("source").alias("title"), front.alias("frontmatter")))
+    found = hooks.document_requests(docs.select(payload.alias("payload")))
+    attr = lambda n: F.col("attrs")[n]["text"]
+    return found.select(
+        F.substring_index(attr("document-id"), "-", -1).cast("long").alias("doc_id"), "source_id", "cursor", attr("document-type").alias("document_type"), attr("status").alias("status"),
+        attr("title").alias("title"), attr("tags").alias("tags"), attr("related").alias("related"),
+    )
+
+
+@query("""SELECT 'update/' || CAST(event_id AS VARCHAR) || '/u' AS source_id, CASE event_id % 4 WHEN 0 THEN 'SelfRelation' ELSE 'InvalidAttribute' END AS fault FROM events WHERE event_id % 4 < 2""")
+def q_plugin_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a tracker's issues: of four, one depends on itself and one has no title."""
+    e = F.col("event_id")
+    needs = F.when(e % 4 == 0, F.array(e.cast("string"))).otherwise(F.array(F.lit("x")))
+    given = F.struct(
+        F.lit("update").alias("event"), e.cast("string").alias("id"), F.when(e % 4 != 1, F.col("event_type")).alias("title"), F.lit("open").alias("status"), F.lit(1).alias("priority"), F.lit("bug").alias("issue_type"),
+        F.lit("c").alias("created_at"), F.lit("u").alias("updated_at"), needs.alias("depends_on"),
+    )
+    asked = hooks.tracker_requests(read(spark, sf_dir, "events").select(F.to_json(given).alias("payload"))).drop("payload", "fault")
+    return plugins.observe(plugins.TRACKER, asked)[1]
+
+
+@query("""SELECT event_id, event_id % 3 = 2 AS bad FROM events WHERE event_id % 3 <> 1""")
+def q_event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a stream: of three, one is an event, one is blank, and one can't be read."""
+    e = F.col("event_id")
+    line = F.to_json(F.struct(F.lit("mark").alias("kind"), e.cast("string").alias("uuid"), F.col("event_type").alias("name")))
+    lines = read(spark, sf_dir, "events").select("event_id", F.when(e % 3 == 0, line).when(e % 3 == 1, F.lit("  ")).otherwise(F.col("props")).alias("value"))
+    return spool.events_of(lines).select("event_id", "bad")
+
+
 @query("""SELECT 'order-' || CAST(o_orderkey AS VARCHAR) AS op_id, strftime(o_orderdate, '%Y-%m-%d') AS date, strftime(o_orderdate, '%H:%M:%S') AS time,
  strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || ':order-' || CAST(o_orderkey AS VARCHAR) AS sort_key FROM orders""")
 def q_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -572,9 +771,20 @@ def q_session_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT conv_id, turn, coalesce(actor, -1) AS actor FROM ({_ARRIVALS})")
 def q_actor_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last turn of the assistant up to each turn."""
-    last = F.last(F.when(F.col("role") == "assistant", F.col("turn")), ignorenulls=True).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(last, F.lit(-1).cast("long")).alias("actor"))
+    """The actor of each turn: turns of the assistant name themselves as actors of the conversation's
+    session, and others have the last one that was named."""
+    from .streaming import relay
+
+    turns = read(spark, sf_dir, "conversations")
+    uuid = lambda turn: F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
+    own = F.when(F.col("role") == "assistant", F.col("turn").cast("string"))
+    meta = F.to_json(F.struct(F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id"), own.alias("actor_id")))
+    events = turns.select(
+        "conv_id", "turn", F.col("turn").alias("seq"), F.lit("mark").alias("kind"), uuid(F.col("turn")).alias("uuid"), F.lit(None).cast("string").alias("parent_uuid"),
+        F.lit(None).cast("string").alias("scope_category"), F.lit(None).cast("string").alias("category"), F.col("role").alias("name"), F.parse_json(meta).alias("metadata"),
+    )
+    rows, _ = relay.resolved(events, relay.Config("h", "i"))
+    return rows.select("conv_id", "turn", F.coalesce(F.col("last_actor").cast("long"), F.lit(-1).cast("long")).alias("actor"))
 
 
 @query("""SELECT entity, attrs FROM (SELECT 'tpch/customer/' || CAST(c_custkey AS VARCHAR) AS entity, 'name="' || c_name || '" segment="' || c_mktsegment || '" nation=' || CAST(c_nationkey AS VARCHAR) AS attrs FROM customer)""")

@@ -15,6 +15,7 @@ def spark(tmp_path_factory):
         SparkSession.builder.master("local[8]")
         .config("spark.sql.shuffle.partitions", "3")
         .config("spark.driver.memory", "6g")
+        .config("spark.default.parallelism", "2")
         # small plans: compiling them would take most of the time
         .config("spark.sql.codegen.wholeStage", "false")
         .config("spark.sql.codegen.factoryMode", "NO_CODEGEN")
