@@ -43,6 +43,8 @@ LEVEL_BITS = 10
 TARGET_RECALL = 0.9999
 #: Texts, and bytes of text, of a block of a large trie node.
 BLOCK_ROWS, BLOCK_BYTES = 256, 8 << 20
+#: Keys with at least one row in so many are joined by broadcast; there are at most so many.
+HOT_KEYS = 10_000
 #: Shingles for which all hash functions are applied at a time.
 _CHUNK = 512
 
@@ -306,6 +308,19 @@ def linked_texts(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str,
     return links
 
 
+def _spread_join(rows: DataFrame, by: str, side: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` joined with the one row of ``side`` whose ``key`` is their ``by``; ``n`` is how many
+    rows of ``rows`` that is.
+
+    All rows of a frequent key would meet in one task, so keys that hold a share of at least one in
+    HOT_KEYS of all rows, which are at most HOT_KEYS, are broadcast; only rows of the others move.
+    """
+    hot = F.col(n) * HOT_KEYS >= rows.count()
+    same = F.col(by) == F.col(key)
+    rare = rows.join(F.broadcast(side.filter(hot).select(key)), same, "left_anti")
+    return rows.join(F.broadcast(side.filter(hot)), same).unionByName(rare.join(side.filter(~hot), same))
+
+
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Signatures of all rows, and for each distinct text: own_node, rep, n_copies, n_links, root."""
     sig = written(signatures(docs, id_col, text_col), "signatures")
@@ -340,9 +355,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     looked at; an empty table gives no rows.
     """
     sig, named = _classes(docs, id_col, text_col)
-    least = named.groupBy(F.col("root").alias("c_root")).agg(F.min("rep").alias("class_id"))
-    named = named.join(least, F.col("root") == F.col("c_root"))
-    return sig.select("own_id", "node").join(named, F.col("node") == F.col("own_node")).select(
+    least = named.groupBy(F.col("root").alias("c_root")).agg(F.min("rep").alias("class_id"), F.count(F.lit(1)).alias("n_texts"))
+    named = written(_spread_join(named, "root", written(least, "least-ids"), "c_root", "n_texts"), "named")
+    return _spread_join(sig, "node", named, "own_node", "n_copies").select(
         F.col("own_id").alias(id_col), "class_id", "n_links", F.col("rep").alias("copy_id"), "n_copies", F.hex("root").alias("class_key"),
     )
 
@@ -351,7 +366,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One document of each class, with its columns: the one with the least id (null last; of
     rows with the same id, one with the least text hash; of equal rows, one)."""
     sig, named = _classes(docs, id_col, text_col)
-    rows = sig.select("own_id", "node").join(named.select("own_node", "root"), F.col("node") == F.col("own_node"))
+    rows = _spread_join(sig, "node", named.select("own_node", "n_copies", "root"), "own_node", "n_copies")
     choice = F.min(F.struct(F.col("own_id").isNull().alias("none"), F.col("own_id"), F.col("node"))).alias("m")
     h, n, k_id, k_node = fresh(docs, "h", "n", "k_id", "k_node")
     kept = rows.groupBy("root").agg(choice).select(F.col("m.own_id").alias(k_id), F.col("m.node").alias(k_node))
