@@ -51,6 +51,6 @@ def components(edges: DataFrame) -> DataFrame:
         following = written(_small_star(_large_star(now, state[0]), state[0]), "edges")
         drop_written(now)
         now, before, state = following, state, _checksum(following)
-    roots = now.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
     # the last edges stay until the caller has read them
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("root")), F.struct(F.col("v").alias("node"), F.col("v").alias("root"))))
+    return now.select(ends.alias("e")).groupBy(F.col("e.node").alias("node")).agg(F.min("e.root").alias("root"))
