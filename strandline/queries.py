@@ -18,6 +18,7 @@ from .model import Log, canonical, external, external_key
 from .operators import graph, replay, retention, transact, validate
 from .operators.predicates import And, EntityType, Not, Or, PropertyEquals
 from .plans import chronicle
+from .shared import written
 from .sources import hooks, plugins, snapshot, spool, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -771,22 +772,90 @@ def q_session_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT conv_id, turn, coalesce(actor, -1) AS actor FROM ({_ARRIVALS})")
 def q_actor_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The actor of each turn: turns of the assistant name themselves as actors of the conversation's
-    session, and others have the last one that was named."""
+    """The actor of each turn."""
     from .streaming import relay
 
-    turns = read(spark, sf_dir, "conversations")
+    rows, _ = relay.resolved(actor_events(read(spark, sf_dir, "conversations")), relay.Config("h", "i"))
+    return rows.select("conv_id", "turn", F.coalesce(F.col("last_actor").cast("long"), F.lit(-1).cast("long")).alias("actor"))
+
+
+def actor_events(turns: DataFrame) -> DataFrame:
+    """Turns as marks: those of the assistant name themselves as actors of the conversation's session,
+    and others have the last one that was named."""
     uuid = lambda turn: F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
     own = F.when(F.col("role") == "assistant", F.col("turn").cast("string"))
     meta = F.to_json(F.struct(F.concat(F.lit("s"), F.col("conv_id").cast("string")).alias("session_id"), own.alias("actor_id")))
-    events = turns.select(
+    return turns.select(
         "conv_id", "turn", F.col("turn").alias("seq"), F.lit("mark").alias("kind"), uuid(F.col("turn")).alias("uuid"), F.lit(None).cast("string").alias("parent_uuid"),
         F.lit(None).cast("string").alias("scope_category"), F.lit(None).cast("string").alias("category"), F.col("role").alias("name"), F.parse_json(meta).alias("metadata"),
     )
-    rows, _ = relay.resolved(events, relay.Config("h", "i"))
+
+
+@query(f"SELECT conv_id, turn, coalesce(actor, -1) AS actor FROM ({_ARRIVALS})")
+def q_actor_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The actors of q_actor_last, the turns arriving in three batches that know the actors before."""
+    from .streaming import relay
+
+    turns, found, known = read(spark, sf_dir, "conversations"), [], None
+    for batch in range(3):
+        cut = turns.filter((F.col("turn") >= 2 * batch) & ((F.col("turn") < 2 * batch + 2) | F.lit(batch == 2)))
+        rows, _ = relay.resolved(actor_events(cut), relay.Config("h", "i"), known_actors=known)
+        rows = written(rows.select("conv_id", "turn", "seq", "session", "last_actor"), "actor-batch")
+        last = rows.filter("last_actor IS NOT NULL").groupBy("session").agg(F.max_by("last_actor", "seq").alias("last_actor"))
+        known = last if known is None else last.unionByName(known.join(last, "session", "left_anti"))
+        found.append(rows)
+    rows = found[0].unionByName(found[1]).unionByName(found[2])
     return rows.select("conv_id", "turn", F.coalesce(F.col("last_actor").cast("long"), F.lit(-1).cast("long")).alias("actor"))
 
 
+def _recorded(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    """Requests of the agent events of conversations, each with its text as data; every third turn
+    names the source that it explains."""
+    from .streaming import projection, relay
+
+    config = relay.Config("h", "i", mode=mode)
+    events = relay_events(spark, sf_dir).join(read(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text")), ["conv_id", "turn"])
+    source = F.struct(F.lit("shop").alias("namespace"), F.lit("turn").alias("kind"), F.concat_ws("/", "conv_id", "turn").alias("id"))
+    link = F.when(F.col("turn") % 3 == 1, F.struct(source.alias("source"), F.lit("done").alias("outcome")))
+    session = F.when(F.col("turn") == 0, F.concat(F.lit("s"), F.col("conv_id").cast("string")))
+    said = F.to_json(F.struct(session.alias("session_id"), link.alias("lineage")))
+    event = F.struct(F.lit("0.1").alias("atof_version"), F.struct(F.lower(F.md5("text")).alias("m")).alias("data"), F.array(F.lit("parallel")).alias("attributes"))
+    events = events.withColumn("metadata", F.parse_json(said)).withColumn("json", F.to_json(event)).withColumn("key", relay.event_key(F.col("uuid"), F.col("kind"), F.col("scope_category")))
+    rows, _ = relay.resolved(written(events, "events"), config)
+    return projection.requests(relay.projected(written(rows, "resolved"), config), config)
+
+
+def _attr(name: str) -> Column:
+    return F.col("attrs")[name]["text"]
+
+
+_UUID = "lower(lpad(to_hex(conv_id), 8, '0')) || '-0000-4000-8000-' || lower(lpad(to_hex({}), 12, '0'))"
+
+
+@query(f"""WITH e AS (SELECT conv_id, turn, {_UUID.format('turn')} AS id, CASE WHEN turn > 0 THEN {_UUID.format('turn - 1')} END AS parent, '{{"m":"' || md5(text) || '"}}' AS data FROM conversations WHERE text IS NOT NULL)
+ SELECT id || '/start' AS source_id, 'audit/' || id || '/start' AS cursor, id AS event_id, parent, 'scope' AS kind, CASE turn WHEN 0 THEN 'agent' ELSE 'tool' END AS category, '0.1' AS version,
+ sha256(data) AS data_digest, CAST(length(data) AS BIGINT) AS data_size, 's' || CAST(conv_id AS VARCHAR) AS telemetry_session, CASE turn WHEN 0 THEN 'true' END AS session_start, '["parallel"]' AS scope_attributes, FALSE AS lost FROM e""")
+def q_audit_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an audit records of agent events."""
+    found = _recorded(spark, sf_dir, "audit").filter("text IS NOT NULL")
+    return found.select(
+        "source_id", "cursor", _attr("event-id").alias("event_id"), _attr("parent-uuid").alias("parent"), _attr("event-kind").alias("kind"), _attr("category").alias("category"), _attr("atof-version").alias("version"),
+        _attr("data-digest").alias("data_digest"), _attr("data-size").cast("long").alias("data_size"), _attr("telemetry-session-id").alias("telemetry_session"), _attr("session-start").alias("session_start"),
+        _attr("scope-attributes").alias("scope_attributes"), _attr("session-id").isNull().alias("lost"),
+    )
+
+
+@query("""SELECT conv_id, turn, 'shop' AS source_namespace, 'turn' AS source_kind, CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS source_id, 'done' AS outcome, CASE turn WHEN 1 THEN 'true' END AS session_start,
+ FALSE AS digested, TRUE AS cursor_of_source FROM conversations WHERE turn % 3 = 1""")
+def q_link_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What links record: the sources that events explain, and the start of a session with its first."""
+    found = _recorded(spark, sf_dir, "link")
+    return found.select(
+        "conv_id", "turn", _attr("source-namespace").alias("source_namespace"), _attr("source-kind").alias("source_kind"), _attr("source-id").alias("source_id"), _attr("outcome").alias("outcome"),
+        _attr("session-start").alias("session_start"), F.map_contains_key("attrs", "data-digest").alias("digested"), (F.col("cursor") == F.concat(F.lit("link/"), F.col("source_id"))).alias("cursor_of_source"),
+    )
+
+
 @query("""SELECT entity, attrs FROM (SELECT 'tpch/customer/' || CAST(c_custkey AS VARCHAR) AS entity, 'name="' || c_name || '" segment="' || c_mktsegment || '" nation=' || CAST(c_nationkey AS VARCHAR) AS attrs FROM customer)""")
 def q_format_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = tables.observation_log(spark, sf_dir)

@@ -36,6 +36,8 @@ class Config:
     project: str | None = None
     trace_url: str | None = None
     span_url: str | None = None
+    trace_api_url: str | None = None
+    span_api_url: str | None = None
     containers: tuple[str, ...] = t.CONTAINERS
     source_containers: tuple[str, ...] = t.SOURCE_CONTAINERS
     domains: identity.Domains = identity.DOMAINS
@@ -43,7 +45,7 @@ class Config:
     def __post_init__(self) -> None:
         if self.mode not in ("link", "audit"):
             raise ValueError(f"unknown capture mode {self.mode!r}")
-        for template, needed in ((self.trace_url, "trace_id"), (self.span_url, "span_id")):
+        for template, needed in ((self.trace_url, "trace_id"), (self.span_url, "span_id"), (self.trace_api_url, "trace_id"), (self.span_api_url, "span_id")):
             if template is not None:
                 check_template(template, needed)
 
@@ -178,7 +180,8 @@ def resolved(events: DataFrame, config: Config, known_scopes: DataFrame | None =
     out = rows.withColumn("actor", F.when(F.col("session").isNotNull(), actor)).withColumn("trace", trace).withColumn("span", span)
     out = out.withColumn("telemetry_session", F.coalesce("raw_session", "m_telemetry_session", "p_telemetry_session")).withColumn("instance", F.coalesce("own_instance", "m_instance", "p_instance"))
     out = out.withColumn("session_start", F.col("start_mark") | (root & (F.col("scope_category") == "start"))).withColumn("session_end", F.col("end_mark") | F.coalesce(root & (F.col("scope_category") == "end"), F.lit(False)))
-    for name, template in (("trace_url", config.trace_url), ("span_url", config.span_url)):
+    for name in ("trace_url", "span_url", "trace_api_url", "span_api_url"):
+        template = getattr(config, name)
         values = {"trace_id": F.col("trace"), "span_id": F.col("span"), "provider": F.col("provider"), "project": F.lit(config.project)}
         out = out.withColumn(name, render_url(template, **values) if template else F.lit(None).cast("string"))
     extra = [c for c in out.columns if c[:2] in ("m_", "p_") and c != "p_"] + ["m", "p", "l", "lent"]
