@@ -294,6 +294,9 @@ def linked_texts(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str,
     chosen = own.join(wanted, (F.col("own_node") == F.col("node")) & F.col("own_id").eqNullSafe(F.col("rep")))
     if repeated:
         chosen = chosen.dropDuplicates(["own_node"])
+    # written, so that the exchange of all texts is gone before the blocks are dealt
+    chosen = written(chosen.select("node", "keys", "text", "at"), "trie-texts")
+    drop_written(wanted)
     rows = chosen.select("node", "keys", "text", F.explode("at").alias("b"))
     pair = F.explode(F.sequence(F.lit(0), F.col("b.blocks") - 1))
     rows = rows.select("node", "keys", "text", "b", pair.alias("other"))
@@ -304,7 +307,7 @@ def linked_texts(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str,
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(_verified, "node binary, with binary, links long")
     links = written(links, "links")
-    drop_written(wanted)
+    drop_written(chosen)
     return links
 
 
@@ -328,6 +331,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
         F.min("own_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("bytes").alias("bytes"), F.first("labels").alias("labels")
     )
     texts = written(distinct, "texts")
+    # labels are kept once
+    rows = written(sig.select("own_id", "node"), "rows")
+    drop_written(sig)
+    sig = rows
     found = linked_texts(docs, texts, id_col, text_col, not _repeated(sig).isEmpty())
     roots = components(found.select(F.col("node").alias("u"), F.col("with").alias("v")))
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
@@ -338,7 +345,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     named = written(named, "classes")
     for done in (texts, found, roots):
         drop_written(done)
-    return sig.select("own_id", "node"), named
+    return sig, named
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
