@@ -20,14 +20,16 @@ from ..operators.replay import latest_entities
 ATTRIBUTE_LIMIT = 12
 # Attributes in the order in which records show them.
 PRIORITY = (
-    "summary title status description finding stats evidence result metrics baseline constraints children in out decision change observations delta "
-    "attribution caveat work sessions subagents edits files jj-range detail path config schema parent-id parent_id issue-id issue_id issue-type issue_type "
-    "priority assignee labels created-at created_at updated-at updated_at commit-id commit_id change-id change_id current-commit current_commit author "
-    "operation-id operation_id workspace-id workspace_id event-id event_id name event-kind timestamp occurred-at outcome harness harness-id installation-id "
-    "conversation-ref evidence-ref evidence-digest telemetry-provider trace-provider provider telemetry-trace-id trace-id telemetry-span-id span-id "
-    "telemetry-session-id telemetry-session-instance-id session-id actor-id scope-category category scope-attributes data-present data-size "
-    "metadata-present metadata-size hook operation-kind projection source-system reason role phase"
-).split()
+    "summary", "title", "status", "description", "finding", "stats", "evidence", "result", "metrics", "baseline", "constraints", "children", "in",
+    "out", "decision", "change", "observations", "delta", "attribution", "caveat", "work", "sessions", "subagents", "edits", "files", "jj-range",
+    "detail", "path", "config", "schema", "parent-id", "parent_id", "issue-id", "issue_id", "issue-type", "issue_type", "priority", "assignee",
+    "labels", "created-at", "created_at", "updated-at", "updated_at", "commit-id", "commit_id", "change-id", "change_id", "current-commit",
+    "current_commit", "author", "operation-id", "operation_id", "workspace-id", "workspace_id", "event-id", "event_id", "name", "event-kind",
+    "timestamp", "occurred-at", "outcome", "harness", "harness-id", "installation-id", "conversation-ref", "evidence-ref", "evidence-digest",
+    "telemetry-provider", "trace-provider", "provider", "telemetry-trace-id", "trace-id", "telemetry-span-id", "span-id", "telemetry-session-id",
+    "telemetry-session-instance-id", "session-id", "actor-id", "scope-category", "category", "scope-attributes", "data-present", "data-size",
+    "metadata-present", "metadata-size", "hook", "operation-kind", "projection", "source-system", "reason", "role", "phase",
+)
 NOT_OF_EVENTS = ("name", "event-kind", "timestamp", "occurred-at", "session-id", "actor-id")
 EDITS = ("edits", "edit-count", "edit_count")
 FILES = ("files", "file-count", "file_count")
