@@ -1,9 +1,11 @@
 import itertools
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from strandline import queries
 from strandline.model import Log
 from strandline.operators import replay, retention
 from strandline.operators.replay import LogError, first_in_first_out
@@ -47,6 +49,17 @@ def test_order_of_large_logs_is_first_in_first_out(spark, monkeypatch):
     assert sorted(ids, key=got.get) != sorted(ids, key=lambda i: (layer[i], i))
 
 
+def test_depth_query_gives_the_columns_and_rows_of_its_sql(spark, tmp_path):
+    turns = [(c, t, "user", "x") for c, n in ((1, 3), (2, 1), (7, 4)) for t in range(n)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = queries.QUERIES["q_op_depth"](spark, str(tmp_path))
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+        con.execute(queries.ORACLE_SQL["q_op_depth"])
+        assert got.columns == [d[0] for d in con.description]
+        assert sorted(map(tuple, got.collect())) == sorted(con.fetchall())
+
+
 def test_merge(spark):
     log = kitchen(spark)
     merged = replay.merge(log, log)
