@@ -50,6 +50,73 @@ def first_in_first_out(ids: list[str], parents: list[tuple[str, str]]) -> list[s
     return out
 
 
+def _family(log: Log) -> tuple[DataFrame, DataFrame]:
+    """The ids (op_id) of a log, written, and their (op_id, parent_id). A parent that is not in the
+    log is a fault."""
+    ids = written(log.operations.select("op_id").distinct(), "left")
+    known = log.parents.select("op_id", "parent_id").distinct()
+    orphan = known.join(ids.withColumnRenamed("op_id", "parent_id"), "parent_id", "left_anti").first()
+    if orphan:
+        raise LogError("MissingParent", f"{orphan.op_id} has the unknown parent {orphan.parent_id}")
+    return ids, known
+
+
+def depths(log: Log) -> DataFrame:
+    """(op_id, layer): 0 for roots, else one more than the highest layer of the parents.
+
+    Chains take rounds in the logarithm of their length: an operation with one parent points to it,
+    and in each round to where that one points, until all point to a root or to a merge, which has
+    several parents. Only merges are peeled, one round for each layer of them.
+    """
+    ids, known = _family(log)
+    known = written(known, "parents")
+    parents = known.groupBy("op_id").agg(F.count(F.lit(1)).alias("n"), F.min("parent_id").alias("parent_id"))
+    n = F.coalesce("n", F.lit(0))
+    top = F.when(n == 1, F.col("parent_id")).otherwise(F.col("op_id")).alias("top")
+    first = written(ids.join(parents, "op_id", "left").select("op_id", top, (n == 1).cast("long").alias("steps"), (n != 1).alias("settled"), (n > 1).alias("merge")), "pointers")
+    done, left = [first.filter("settled").drop("merge")], first.filter("NOT settled").drop("merge")
+    total, reach = first.count(), 1
+    while n := left.count():
+        # no path is longer than there are operations
+        if reach > 2 * total:
+            raise LogError("Cycle", f"{n} operations with one parent lie on cycles or follow them")
+        there = reduce(DataFrame.unionByName, [*done, left]).select(F.col("op_id").alias("top"), F.col("top").alias("next"), F.col("steps").alias("more"), F.col("settled").alias("ends"))
+        moved = left.join(there, "top").select("op_id", F.col("next").alias("top"), (F.col("steps") + F.col("more")).alias("steps"), F.col("ends").alias("settled"))
+        moved = written(moved, "pointers")
+        done.append(moved.filter("settled"))
+        left = moved.filter("NOT settled")
+        reach *= 2
+    pointers = reduce(DataFrame.unionByName, done).drop("settled")
+    merges = first.filter("merge").select("op_id")
+    if not merges.isEmpty():
+        below = _merge_depths(merges, known, pointers).select(F.col("op_id").alias("top"), "layer")
+        pointers = pointers.join(below, "top", "left").withColumn("steps", F.col("steps") + F.coalesce("layer", F.lit(0)))
+    return pointers.select("op_id", F.col("steps").cast("int").alias("layer"))
+
+
+def _merge_depths(merges: DataFrame, known: DataFrame, pointers: DataFrame) -> DataFrame:
+    """(op_id, layer) of ``merges`` (op_id); ``pointers`` (op_id, top, steps) lead from each operation
+    to the nearest root or merge."""
+    tops = pointers.select(F.col("op_id").alias("parent_id"), "top", F.col("steps") + 1)
+    edges = known.join(merges, "op_id", "left_semi").join(tops.toDF("parent_id", "top", "steps"), "parent_id")
+    edges = written(edges.groupBy("op_id", "top").agg(F.max("steps").alias("steps")), "merges")
+    left, done = merges, [merges.limit(0).withColumn("layer", F.lit(0).cast("long"))]
+    while n := left.count():
+        waiting = edges.join(left.withColumnRenamed("op_id", "top"), "top", "left_semi").select("op_id").distinct()
+        ready = left.join(waiting, "op_id", "left_anti")
+        below = reduce(DataFrame.unionByName, done).select(F.col("op_id").alias("top"), "layer")
+        # a top without a layer is a root
+        layer = F.max(F.col("steps") + F.coalesce("layer", F.lit(0))).alias("layer")
+        ready = written(edges.join(ready, "op_id", "left_semi").join(below, "top", "left").groupBy("op_id").agg(layer), "layer")
+        if ready.isEmpty():
+            raise LogError("Cycle", f"{n} merges lie on cycles or follow them")
+        done.append(ready)
+        if len(done) > 16:
+            done = [written(reduce(DataFrame.unionByName, done), "layers")]
+        left = written(left.join(ready, "op_id", "left_anti"), "left")
+    return reduce(DataFrame.unionByName, done)
+
+
 def layers(log: Log) -> DataFrame:
     """(op_id, layer, topo): 0 for roots, else one more than the highest layer of the parents, and
     the place in the first-in-first-out order.
@@ -58,11 +125,7 @@ def layers(log: Log) -> DataFrame:
     operation is ready once its last parent is taken, which lies in the layer before. So the
     order goes layer by layer, and within one by the place of the last parent, then by id.
     """
-    left = written(log.operations.select("op_id").distinct(), "left")
-    known = log.parents.select("op_id", "parent_id").distinct()
-    orphan = known.join(left.withColumnRenamed("op_id", "parent_id"), "parent_id", "left_anti").first()
-    if orphan:
-        raise LogError("MissingParent", f"{orphan.op_id} has the unknown parent {orphan.parent_id}")
+    left, known = _family(log)
     done: list[DataFrame] = []
     at, total, last = 0, left.count(), None
     while n := left.count():

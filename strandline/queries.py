@@ -263,7 +263,7 @@ def q_event_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT {_TURN.format('turn')} AS op_id, CAST(turn AS INTEGER) AS layer FROM conversations")
 def q_op_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.layers(tables.turn_log(spark, sf_dir)).select("op_id", "layer")
+    return replay.depths(tables.turn_log(spark, sf_dir))
 
 
 @query(f"""SELECT op_id, CAST(row_number() OVER (ORDER BY turn, rank) - 1 AS BIGINT) AS topo FROM (

@@ -10,6 +10,7 @@ from strandline.model import Log
 from strandline.operators import replay, retention
 from strandline.operators.replay import LogError, first_in_first_out
 from strandline.operators.retention import transition
+from strandline.shared import written
 from tests.fixture import RECIPE, kitchen
 
 
@@ -49,6 +50,35 @@ def test_order_of_large_logs_is_first_in_first_out(spark, monkeypatch):
     assert sorted(ids, key=got.get) != sorted(ids, key=lambda i: (layer[i], i))
 
 
+def test_depths_are_longest_paths(spark):
+    """Against a loop over a log with chains and merges."""
+    rng = random.Random(9)
+    ids = [f"op-{i}" for i in rng.sample(range(1000), 70)]
+    parents = sorted({(ids[i], ids[i - 1 if i % 9 else rng.randrange(i)]) for i in range(4, 70)} | {(ids[i], ids[rng.randrange(i)]) for i in range(20, 70, 15)})
+    layer = {}
+    for i in ids:
+        layer[i] = max((layer[p] + 1 for c, p in parents if c == i), default=0)
+    # a parent that is stated twice is one
+    log = Log.of(spark, operations=[(i, None, {}) for i in ids], parents=[*parents, *parents[:9]])
+    assert sorted(map(tuple, replay.depths(log).collect())) == sorted(layer.items())
+    assert replay.depths(Log.of(spark, operations=[], parents=[])).collect() == []
+
+
+@pytest.mark.parametrize(("parents", "kind"), [("ba cb bc", "Cycle"), ("ba cb dc bd", "Cycle"), ("ab bc ca", "Cycle"), ("dd", "Cycle"), ("ba cx", "MissingParent")])
+def test_depths_of_faulty_logs(spark, parents, kind):
+    log = Log.of(spark, operations=[(i, None, {}) for i in "abcd"], parents=[tuple(p) for p in parents.split()])
+    with pytest.raises(LogError, match=kind):
+        replay.depths(log).collect()
+
+
+def test_depth_of_a_chain_takes_few_rounds(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(replay, "written", lambda df, name: tables.append(name) or written(df, name))
+    log = Log.of(spark, operations=[(f"op-{i}", None, {}) for i in range(100)], parents=[(f"op-{i}", f"op-{i - 1}") for i in range(1, 100)])
+    assert {r.op_id: r.layer for r in replay.depths(log).collect()} == {f"op-{i}": i for i in range(100)}
+    assert len(tables) < 15
+
+
 def test_depth_query_gives_the_columns_and_rows_of_its_sql(spark, tmp_path):
     turns = [(c, t, "user", "x") for c, n in ((1, 3), (2, 1), (7, 4)) for t in range(n)]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
